@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from verdigris.constants import ENTITY_SHORT, IP_WINDOW_US
 from verdigris.functions.exprs import micros
 from verdigris.operators.bandjoin import close_pairs
+from verdigris.session import materialize
 
 HOT_ACCOUNTS = 10_000
 KINDS = list(ENTITY_SHORT.values())
@@ -38,15 +39,20 @@ def entity_links(orders: DataFrame) -> DataFrame:
 
 
 def sized_links(links: DataFrame) -> DataFrame:
+    """Every link with the number of users of its entity."""
     sizes = links.groupBy("kind", "entity").agg(F.count("*").alias("users"))
     return links.join(sizes, ["kind", "entity"])
 
 
-def accounts_per_entity(links: DataFrame) -> DataFrame:
+def stored_links(orders: DataFrame) -> DataFrame:
+    """Sized links written once; four feature blocks read them."""
+    return materialize(sized_links(entity_links(orders)), "links")
+
+
+def accounts_per_entity(sized: DataFrame) -> DataFrame:
     """Mean number of users over the account's entities, per kind; self included."""
     return (
-        sized_links(links)
-        .groupBy("account_id")
+        sized.groupBy("account_id")
         .agg(
             *[
                 F.coalesce(F.avg(F.when(F.col("kind") == k, F.col("users"))), F.lit(0.0)).alias(
@@ -75,11 +81,25 @@ def _hot_sets(sized: DataFrame, hot_accounts: int) -> DataFrame:
     )
 
 
+def _pairs_without_hot(quiet: DataFrame) -> DataFrame:
+    mine = quiet.select("kind", "entity", F.col("account_id").alias("a"))
+    other = quiet.select("kind", "entity", F.col("account_id").alias("b"))
+    return (
+        mine.join(other, ["kind", "entity"])
+        .filter(F.col("a") != F.col("b"))
+        .groupBy("a", "b")
+        .agg(*[F.max(F.col("kind") == k).alias(f"quiet_{k}") for k in KINDS])
+        .withColumns({f"both_{k}": F.lit(False) for k in KINDS})
+    )
+
+
 def _quiet_pairs(sized: DataFrame, hot: DataFrame, hot_accounts: int) -> DataFrame:
     """Ordered pairs met through quiet entities: flags per kind, seen quietly and seen hot."""
     empty = F.array().cast("array<string>")
-    quiet = sized.filter(F.col("users").between(2, hot_accounts)).join(hot, "account_id", "left")
-    quiet = quiet.select(
+    quiet = sized.filter(F.col("users").between(2, hot_accounts))
+    if hot is None:
+        return _pairs_without_hot(quiet)
+    quiet = quiet.join(hot, "account_id", "left").select(
         "kind", "entity", "account_id",
         *[F.coalesce(F.col(f"hot_{k}"), empty).alias(f"hot_{k}") for k in KINDS],
     )
@@ -128,10 +148,14 @@ def _hot_double(hot: DataFrame, one: str, two: str, name: str) -> DataFrame:
     )
 
 
-def sharing_features(links: DataFrame, hot_accounts: int = HOT_ACCOUNTS) -> DataFrame:
-    """Distinct sharers per kind, joint-sharing flags and the number of shared kinds."""
-    sized = sized_links(links)
-    hot = _hot_sets(sized, hot_accounts)
+def sharing_features(sized: DataFrame, hot_accounts: int = HOT_ACCOUNTS) -> DataFrame:
+    """Distinct sharers per kind, joint-sharing flags and the number of shared kinds.
+
+    ``sized`` is a stored ``sized_links`` table. The hot half of the plan is built only if a
+    hot entity exists.
+    """
+    any_hot = not sized.filter(F.col("users") > hot_accounts).isEmpty()
+    hot = _hot_sets(sized, hot_accounts) if any_hot else None
     pairs = _quiet_pairs(sized, hot, hot_accounts)
 
     def shares(k: str) -> F.Column:
@@ -142,13 +166,17 @@ def sharing_features(links: DataFrame, hot_accounts: int = HOT_ACCOUNTS) -> Data
         F.max((shares("device") & shares("address")).cast("int")).alias("quiet_da"),
         F.max((shares("instrument") & shares("phone")).cast("int")).alias("quiet_ip"),
     )
-    out = links.select("account_id").distinct().join(
+    out = sized.select("account_id").distinct().join(
         quiet.withColumnRenamed("a", "account_id"), "account_id", "left"
     )
-    for k in KINDS:
-        out = out.join(_hot_partner_counts(hot, k), "account_id", "left")
-    out = out.join(_hot_double(hot, "device", "address", "hot_da"), "account_id", "left")
-    out = out.join(_hot_double(hot, "instrument", "phone", "hot_ip"), "account_id", "left")
+    if any_hot:
+        for k in KINDS:
+            out = out.join(_hot_partner_counts(hot, k), "account_id", "left")
+        out = out.join(_hot_double(hot, "device", "address", "hot_da"), "account_id", "left")
+        out = out.join(_hot_double(hot, "instrument", "phone", "hot_ip"), "account_id", "left")
+    else:
+        none = F.lit(None).cast("bigint")
+        out = out.withColumns({c: none for c in [*[f"hotn_{k}" for k in KINDS], "hot_da", "hot_ip"]})
 
     zero = F.lit(0).cast("bigint")
     count = {
@@ -193,10 +221,10 @@ def shared_ip_counts(pairs: DataFrame) -> DataFrame:
 def add_identity(
     features: DataFrame, orders: DataFrame, devices: DataFrame, hot_accounts: int = HOT_ACCOUNTS
 ) -> DataFrame:
-    links = entity_links(orders)
+    sized = stored_links(orders)
     out = (
-        features.join(accounts_per_entity(links), "account_id", "left")
-        .join(sharing_features(links, hot_accounts), "account_id", "left")
+        features.join(accounts_per_entity(sized), "account_id", "left")
+        .join(sharing_features(sized, hot_accounts), "account_id", "left")
         .join(shared_ip_counts(ip_pairs(orders, devices)), "account_id", "left")
     )
     zero = F.lit(0).cast("bigint")

@@ -33,7 +33,7 @@ def pre_devices(d):
 
 
 def features(d):
-    return feature_matrix(d.accounts, d.orders, d.refunds, d.disputes, d.devices, CUTOFF)
+    return feature_matrix(d.accounts, d.stored_orders, d.refunds, d.disputes, d.devices, CUTOFF)
 
 
 def behavior(d):
@@ -48,12 +48,17 @@ def timed(d):
     return T.add_temporal(base, d.accounts, pre_refunds(d), CUTOFF)
 
 
-def rounded(df, columns, digits=6):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+def digits(name):
+    """Places kept in comparisons: money sums carry more float noise than ratios."""
+    return 6 if any(w in name for w in ("amount", "value", "exposure", "cost")) else 9
 
 
-def r6(*names):
-    return ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in names)
+def rounded(df, columns):
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits(c)) for c in columns})
+
+
+def sql_round(*names):
+    return ", ".join(f"round({n}::DOUBLE, {digits(n)}) AS {n}" for n in names)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -249,7 +254,7 @@ def f8(d):
 
 # ------------------------------------------------------------------ behavior
 def _behavior_query(name, whole, real):
-    cols = ", ".join([*whole, *[f"round({c}, 6) AS {c}" for c in real]])
+    cols = ", ".join([*whole, *[sql_round(c) for c in real]])
 
     @query(name, f"SELECT account_id, {cols} FROM behavior")
     def run(d):
@@ -275,7 +280,7 @@ _behavior_query("b11_rates", [], ["return_rate", "refund_rate", "dispute_rate"])
 
 # ------------------------------------------------------------------ time
 def _time_query(name, whole, real):
-    cols = ", ".join([*whole, *[f"round({c}, 6) AS {c}" for c in real]])
+    cols = ", ".join([*whole, *[sql_round(c) for c in real]])
 
     @query(name, f"SELECT account_id, {cols} FROM temporal")
     def run(d):
@@ -316,14 +321,15 @@ def i1(d):
 
 
 @query("i2_accounts_per_entity", f"""
-SELECT account_id, {r6(*[f'accounts_per_{k}' for k in I.KINDS])} FROM identity
+SELECT account_id, {sql_round(*[f'accounts_per_{k}' for k in I.KINDS])} FROM identity
 WHERE account_id IN (SELECT account_id FROM links)""")
 def i2(d):
-    return rounded(I.accounts_per_entity(I.entity_links(pre_orders(d))), [f"accounts_per_{k}" for k in I.KINDS])
+    sized = I.sized_links(I.entity_links(pre_orders(d)))
+    return rounded(I.accounts_per_entity(sized), [f"accounts_per_{k}" for k in I.KINDS])
 
 
 def _sharing(d):
-    return I.sharing_features(I.entity_links(pre_orders(d)))
+    return I.sharing_features(I.stored_links(pre_orders(d)))
 
 
 _WITH_LINKS = "FROM identity WHERE account_id IN (SELECT account_id FROM links)"
@@ -358,6 +364,6 @@ FEATURE_REALS = [
 ]
 
 
-@query("i7_feature_matrix", f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in FEATURE_REALS)}) FROM features")
+@query("i7_feature_matrix", f"SELECT * REPLACE ({sql_round(*FEATURE_REALS)}) FROM features")
 def i7(d):
     return rounded(features(d), FEATURE_REALS)

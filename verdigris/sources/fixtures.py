@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.constants import EVIDENCE_FIELDS, RING_TYPES
-from verdigris.session import prepare
+from verdigris.session import materialize, prepare
 
 CUTOFF = "2000-01-01 00:00:00"
 
@@ -93,6 +93,11 @@ class Data:
             "CASE WHEN refund_flag THEN amount END AS refund_amount",
         )
 
+    @cached_property
+    def stored_orders(self) -> DataFrame:
+        """The orders written once, for jobs that read them several times."""
+        return materialize(self.orders, "orders")
+
     @cached_property
     def refunds(self) -> DataFrame:
         return self.orders.filter("refund_flag").selectExpr(
