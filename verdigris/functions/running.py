@@ -68,3 +68,31 @@ def top_rows(df: DataFrame, order: list[Column], n: int, name: str = "rank") ->
     """The first n rows with their rank: a distributed top-k, then a window over n rows."""
     top = df.orderBy(*order).limit(n)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group.
+
+    Values are folded to counts and located by running totals, so no task holds a group the
+    way the ``percentile`` aggregate does.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    run = running_sums(counts, [F.col(value).asc()], {"_upto": F.col("_n")}, group)
+    totals = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_total"))
+    j = run.join(totals, group)
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index >= F.col("_upto") - F.col("_n")) & (index < F.col("_upto")), F.col(value)))
+
+    aggs = []
+    for name, q in wanted.items():
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        aggs += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}")]
+    found = j.groupBy(*group).agg(F.first("_total").alias("_total"), *aggs)
+    cols = []
+    for name, q in wanted.items():
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        part = place - F.floor(place)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        cols.append((lo + (hi - lo) * part).alias(name))
+    return found.select(*group, *cols)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.constants import ACCOUNT_GRID, COST_FN, COST_FP
 from verdigris.functions.exprs import safe_div
-from verdigris.functions.running import running_sums
+from verdigris.functions.running import quantiles, running_sums
 
 
 def _rates(df: DataFrame, cost_fp: float, cost_fn: float) -> DataFrame:
@@ -151,7 +151,7 @@ def top_k_curve(
         by,
     )
     total = scores.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("positives"))
-    joined = run.join(F.broadcast(total), by) if by else run.crossJoin(total)
+    joined = run.join(total, by)
     fp, fn = F.col("k") - F.col("tp"), F.col("positives") - F.col("tp")
     return joined.select(
         *by,
@@ -178,3 +178,194 @@ def operating_point(curve: DataFrame, by: list[str], min_recall: float = 0.6) ->
     )
     best = F.coalesce("good", "fallback")
     return picked.select(*by, best.alias("b")).select(*by, *[F.col(f"b.{f}").alias(f) for f in fields])
+
+
+def evaluate_top_k(scores: DataFrame, k: int, by: list[str], tie: str = "account_id", **costs) -> DataFrame:
+    """Metrics when exactly the k best-scored rows of each group are flagged."""
+    point = top_k_curve(scores, by, tie, **costs).filter(F.col("k") == k)
+    return point.drop("prob_cutoff").join(auc_metrics(scores, by), by).drop("positives", "negatives")
+
+
+def curve_points(scores: DataFrame, by: list[str]) -> DataFrame:
+    """ROC and precision-recall points, one per distinct score."""
+    c = cumulative(scores, by)
+    totals = scores.groupBy(*by).agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")
+    )
+    return c.join(totals, by).select(
+        *by,
+        "score",
+        safe_div(F.col("fp"), F.col("n")).alias("fpr"),
+        safe_div(F.col("tp"), F.col("p")).alias("tpr"),
+        safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+    )
+
+
+def score_histogram(scores: DataFrame, by: list[str], bins: int = 50) -> DataFrame:
+    """Density of scores in equal-width bins over each group's own range, empty bins included."""
+    span = scores.groupBy(*by).agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("total")
+    )
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    slot = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    filled = scores.join(span, by).groupBy(*by, slot.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    dense = span.select(*by, "lo", "hi", "total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return dense.join(filled, [*by, "bin"], "left").select(
+        *by,
+        "bin",
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        F.when(width > 0, F.coalesce("n", F.lit(0)) / (F.col("total") * width)).otherwise(F.lit(0.0)).alias("density"),
+    )
+
+
+def feature_audit(matrix: DataFrame, truth: DataFrame, columns: list[str]) -> DataFrame:
+    """AUC of every numeric column alone, folded to at least 0.5; constant columns left out."""
+    labelled = truth.select("account_id", F.col("true_ring_member").cast("int").alias("label")).join(
+        matrix.select("account_id", *columns), "account_id", "left"
+    )
+    values = melt_scores(labelled, "label", {c: c for c in columns}).withColumnRenamed("model", "feature")
+    c = cumulative(values, ["feature"])
+    sums = c.groupBy("feature").agg(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") * 0.5).alias("wins"),
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+        F.count("*").alias("unique_values"),
+    ).filter(F.col("unique_values") >= 2)
+    auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p").cast("double") * F.col("n"))).otherwise(0.5)
+    return sums.select(
+        "feature", F.round(F.greatest(auc, 1 - auc), 6).alias("single_feature_auc"), "unique_values"
+    )
+
+
+def raw_signals(accounts: DataFrame, orders: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per-account totals and flag means straight from the (cut off) orders."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    per = orders.groupBy("account_id").agg(
+        F.count("order_id").alias("total_orders"),
+        F.sum("amount").alias("total_amount"),
+        F.avg("amount").alias("avg_order_value"),
+        mean("return_flag").alias("return_rate"),
+        mean("refund_flag").alias("refund_rate"),
+        mean("dispute_flag").alias("dispute_rate"),
+        F.countDistinct("device_id").alias("distinct_devices"),
+        F.countDistinct("address_id").alias("distinct_addresses"),
+        F.countDistinct("phone_hash").alias("distinct_phones"),
+        F.countDistinct("instrument_id").alias("distinct_instruments"),
+        F.avg(F.col("coupon_code").isNotNull().cast("double")).alias("coupon_usage_rate"),
+    )
+    out = accounts.select("account_id").join(per, "account_id", "left").fillna(0)
+    return out.join(truth.select("account_id", "true_ring_member"), "account_id", "left")
+
+
+RAW_SIGNALS = [
+    "total_orders", "total_amount", "avg_order_value", "return_rate", "refund_rate", "dispute_rate",
+    "distinct_devices", "distinct_addresses", "distinct_phones", "distinct_instruments", "coupon_usage_rate",
+]
+
+
+def shortcut_gate(audits: DataFrame, limit: float = 0.80) -> DataFrame:
+    """Passes when no single column separates the classes too well."""
+    top = F.coalesce(F.max("single_feature_auc"), F.lit(0.5))
+    return audits.agg(top.alias("max_auc"), (top <= limit).alias("passed"))
+
+
+def hard_negative_hits(predictions: DataFrame, truth: DataFrame, pred: str) -> DataFrame:
+    """Flagged accounts that are hard negatives and not ring members."""
+    hard = truth.filter((F.col("population_type") == "hard_negative") & ~F.col("true_ring_member"))
+    return predictions.filter(F.col(pred) == 1).join(hard.select("account_id"), "account_id", "left_semi")
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max per column."""
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
+    long = long.filter(F.col("value").isNotNull())
+    base = long.groupBy("feature").agg(
+        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    quart = quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return base.join(quart, "feature")
+
+
+def ring_type_recall(predictions: DataFrame, truth: DataFrame, models: dict[str, str], ring_types: list[str]) -> DataFrame:
+    """Per ring type: members and, per model, hits and recall; types without members show 0."""
+    members = predictions.join(truth.filter("true_ring_member"), "account_id")
+    found = members.groupBy("ring_type").agg(
+        F.count("*").alias("members"),
+        *[F.count_if(F.col(c) == 1).alias(f"tp_{m}") for m, c in models.items()],
+    )
+    kinds = predictions.sparkSession.createDataFrame([(t,) for t in ring_types], "ring_type STRING")
+    zero = F.lit(0).cast("bigint")
+    out = kinds.join(found, "ring_type", "left")
+    return out.select(
+        "ring_type",
+        F.coalesce("members", zero).alias("total_ring_members"),
+        *[F.coalesce(f"tp_{m}", zero).alias(f"tp_{m}") for m in models],
+        *[safe_div(F.col(f"tp_{m}"), F.col("members")).alias(f"recall_{m}") for m in models],
+    )
+
+
+def false_positives(predictions: DataFrame, truth: DataFrame, models: dict[str, str]) -> DataFrame:
+    """One row: non-ring accounts, false positives per model, labels that disagree with the truth."""
+    joined = predictions.join(truth.select("account_id", "true_ring_member"), "account_id", "left")
+    out = ~F.coalesce(F.col("true_ring_member"), F.lit(False))
+    return joined.agg(
+        F.count_if(out).alias("non_ring_accounts"),
+        *[F.count_if(out & (F.col(c) == 1)).alias(f"fp_{m}") for m, c in models.items()],
+        F.count_if(F.col("true_ring_member").isNull() | (F.col("true_ring_member").cast("int") != F.col("true_label"))).alias("label_mismatches"),
+    )
+
+
+def label_match(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Full outer comparison of the two key sets."""
+    a = predictions.select("account_id", F.lit(1).alias("l"))
+    b = truth.select("account_id", F.lit(1).alias("r"))
+    j = a.join(b, "account_id", "full")
+    return j.agg(
+        F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("n_both"),
+        F.count_if(F.col("r").isNull()).alias("predictions_only"),
+        F.count_if(F.col("l").isNull()).alias("truth_only"),
+    )
+
+
+def compare_models(metrics: DataFrame, baseline: str) -> DataFrame:
+    """Each model against the baseline: deltas, cost reduction percent, and the best F1."""
+    base = metrics.filter(F.col("model") == baseline).select(
+        F.lit(1).alias("one"), *[F.col(c).alias(f"b_{c}") for c in ("f1", "pr_auc", "roc_auc", "cost")]
+    )
+    best = metrics.filter(F.col("model") != baseline).agg(
+        F.max_by("model", F.struct(F.col("f1"), -F.col("cost"))).alias("best_model"), F.lit(1).alias("one")
+    )
+    j = metrics.withColumn("one", F.lit(1)).join(base, "one").join(best, "one")
+    return j.select(
+        "model",
+        *[(F.col(c) - F.col(f"b_{c}")).alias(f"delta_{c}") for c in ("f1", "pr_auc", "roc_auc", "cost")],
+        F.when(F.col("b_cost") > 0, (F.col("b_cost") - F.col("cost")) / F.col("b_cost") * 100).alias("cost_reduction_pct"),
+        (F.col("model") == F.col("best_model")).alias("is_best"),
+    )
+
+
+def normalize_metrics(raw: DataFrame, cost_fp: float = COST_FP, cost_fn: float = COST_FN) -> DataFrame:
+    """(model, map of metrics) with keys in either case; a missing cost is derived."""
+    def pick(name: str) -> F.Column:
+        return F.coalesce(F.try_element_at("m", F.lit(name)), F.try_element_at("m", F.lit(name.upper())))
+
+    derived = pick("fp") * cost_fp + pick("fn") * cost_fn
+    return raw.select(
+        "model",
+        *[pick(c).alias(c) for c in ("tp", "fp", "tn", "fn", "precision", "recall", "f1")],
+        F.coalesce(pick("cost"), derived).alias("cost"),
+    )
+
+
+def merge_predictions(base: DataFrame, extra: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Left-join extra score columns; keep, per model, the first alias that exists."""
+    new = [c for c in extra.columns if c not in base.columns]
+    joined = base.join(extra.select("account_id", *new), "account_id", "left")
+    chosen = {
+        m: next((a for a in names if a in joined.columns), None) for m, names in aliases.items()
+    }
+    return joined.select(
+        "account_id", "true_label",
+        *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(m) for m, c in chosen.items() if c],
+    )
