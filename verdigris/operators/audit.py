@@ -51,7 +51,7 @@ def normalize_audit(df: DataFrame, threshold: float | None = None) -> DataFrame:
     pending = F.lower(action).rlike("review|hold|verification")
     decision = F.when(pending, "PENDING_HUMAN_REVIEW").otherwise("NOT_RECORDED")
     keep = [c for c in ("event_id", "investigation_source", "tool_calls", "summary", "action_source") if c in df.columns]
-    hashed = canonical_text([when, F.col("account_id"), model, F.format_string("%.6f", proba), rank, tier, action])
+    hashed = canonical_text([when, F.col("account_id"), model, F.when(proba.isNotNull(), F.format_string("%.6f", proba)), rank, tier, action])
     flag = lambda c: truthy_flag(c) if c in df.columns else F.lit(False)
     return df.select(
         *keep, "timestamp", "account_id", model.alias("model_version"), proba.alias("proba"), rank.alias("rank"),

@@ -165,10 +165,16 @@ def ring_coverage(truth: DataFrame, positives: DataFrame, scored: DataFrame) ->
 
 
 def leaked_inputs(table: DataFrame, forbidden: list[str] | None = None) -> DataFrame:
-    """Each forbidden column and whether the model table holds it."""
+    """Each forbidden column: whether the model table holds it, and in how many rows."""
     names = forbidden or FORBIDDEN_COLUMNS
-    rows = [(n, n in table.columns) for n in names]
-    return table.sparkSession.createDataFrame(rows, "column_name STRING, present BOOLEAN")
+    items = F.array(*[
+        F.struct(
+            F.lit(n).alias("column_name"), F.lit(n in table.columns).alias("present"),
+            (F.count(n) if n in table.columns else F.lit(0)).cast("bigint").alias("filled_rows"),
+        )
+        for n in names
+    ])
+    return table.agg(items.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def strongest_internal(members: DataFrame, edges: DataFrame) -> DataFrame:

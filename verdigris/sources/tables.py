@@ -56,6 +56,19 @@ def missing_artifacts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "artifact STRING, present BOOLEAN")
 
 
+def artifact_report(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
+    """Presence of each required input and, where present, its row count."""
+    out = missing_artifacts(spark, paths)
+    counts = None
+    for name, path in paths.items():
+        if path_exists(spark, path):
+            one = spark.read.format(fmt).load(path).agg(F.lit(name).alias("artifact"), F.count("*").alias("n_rows"))
+            counts = one if counts is None else counts.unionByName(one)
+    if counts is None:
+        return out.withColumn("n_rows", F.lit(None).cast("bigint"))
+    return out.join(counts, "artifact", "left")
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, partition_by: list[str] | None = None) -> None:
     """CSV with header. ``single_file`` is for small reports only."""
     out = df.coalesce(1) if single_file else df
