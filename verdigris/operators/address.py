@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import address_text as A
 from verdigris.functions.exprs import non_null_array
 from verdigris.functions.skew import salted_sides
+from verdigris.operators.address_dense import dense_matches
 from verdigris.session import materialize
 
 # Weight of each component in the match score.
@@ -192,30 +193,40 @@ def _side(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def similarity(field: str, q: str = "q_", r: str = "r_") -> Column:
-    """Similarity of one component; null when either side lacks it."""
-    left, right = F.col(f"{q}{field}"), F.col(f"{r}{field}")
-    present = left.isNotNull() & right.isNotNull()
+def _overlaps() -> dict[str, Column]:
+    """Shared words and trigrams per field, only where both values exist and differ."""
+    out = {}
+    for f in TOKEN_FIELDS + GRAM_FIELDS:
+        differ = F.col(f"q_{f}") != F.col(f"r_{f}")
+        out[f"w_{f}"] = F.when(differ, F.size(F.array_intersect(f"q_{f}_tok", f"r_{f}_tok")))
+        if f in GRAM_FIELDS:
+            out[f"g_{f}"] = F.when(differ, F.size(F.array_intersect(f"q_{f}_tri", f"r_{f}_tri")))
+    return out
+
+
+def _share(both: Column, a: Column, b: Column) -> Column:
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
+
+
+def similarity(field: str) -> Column:
+    """Similarity of one component from its overlaps; null when either side lacks it."""
+    left, right = F.col(f"q_{field}"), F.col(f"r_{field}")
     if field == "pincode":
-        score = F.when(left == right, 1.0).otherwise(0.0)
+        score = F.lit(0.0)
     else:
-        tok = A.jaccard(F.col(f"{q}{field}_tok"), F.col(f"{r}{field}_tok"))
-        if field in TOKEN_FIELDS:
-            score = F.when(left == right, 1.0).otherwise(tok)
-        else:
-            gram = F.when(F.col(f"{q}{field}_flat") == F.col(f"{r}{field}_flat"), 1.0).otherwise(
-                A.jaccard(F.col(f"{q}{field}_tri"), F.col(f"{r}{field}_tri"))
-            )
-            inside = (left.contains(right) | right.contains(left)).cast("double")
-            score = F.when(left == right, 1.0).otherwise(
-                F.least(F.lit(1.0), 0.55 * tok + 0.30 * gram + 0.15 * inside)
-            )
-    return F.when(present, score)
+        score = _share(F.col(f"w_{field}"), F.col(f"q_{field}_tok"), F.col(f"r_{field}_tok"))
+    if field in GRAM_FIELDS:
+        gram = F.when(F.col(f"q_{field}_flat") == F.col(f"r_{field}_flat"), 1.0).otherwise(
+            _share(F.col(f"g_{field}"), F.col(f"q_{field}_tri"), F.col(f"r_{field}_tri"))
+        )
+        inside = (left.contains(right) | right.contains(left)).cast("double")
+        score = F.least(F.lit(1.0), 0.55 * score + 0.30 * gram + 0.15 * inside)
+    return F.when(left == right, 1.0).when(left != right, score)
 
 
 def scored(pairs: DataFrame) -> DataFrame:
     """Add s_* similarities, ``score`` and ``exact_count`` to prepared pairs."""
-    out = pairs.withColumns({f"s_{f}": similarity(f) for f in FIELDS})
+    out = pairs.withColumns(_overlaps()).withColumns({f"s_{f}": similarity(f) for f in FIELDS})
     zero = F.lit(0.0)
     got = sum((F.coalesce(F.col(f"s_{f}") * w, zero) for f, w in FIELD_WEIGHTS.items()), zero)
     weight = sum((F.when(F.col(f"s_{f}").isNotNull(), w).otherwise(0.0) for f, w in FIELD_WEIGHTS.items()), zero)
@@ -230,23 +241,51 @@ def scored(pairs: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(queries: DataFrame, records: DataFrame, text: str = "canonical_address") -> DataFrame:
+PAIRS_PER_SLICE = 100_000
+
+
+def _sliced(chosen: DataFrame, placed: DataFrame, pairs_per_slice: int) -> tuple[DataFrame, DataFrame, int]:
+    """Add ``slice`` to both sides so that each slice is about one task's worth of pairs.
+
+    Scoring dominates, so slices follow the number of pairs of a block, not its bytes. A block
+    with more pairs than one slice holds splits its queries; its addresses go to every slice.
+    """
+    nq = chosen.groupBy("level", "key").agg(F.count("*").alias("nq"))
+    nr = placed.groupBy("level", "key").agg(F.count("*").alias("nr"))
+    blocks = nq.join(nr, ["level", "key"]).withColumn("pairs", F.col("nq") * F.col("nr"))
+    slices = F.least(F.col("nq"), F.ceil(F.col("pairs") / F.lit(pairs_per_slice))).cast("int")
+    blocks = materialize(blocks.withColumn("slices", slices), "blocks")
+    total = blocks.agg(F.sum("pairs")).first()[0] or 0
+    sizes = blocks.select("level", "key", "slices")
+    left = chosen.join(sizes, ["level", "key"]).withColumn(
+        "slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")
+    )
+    right = placed.join(sizes, ["level", "key"]).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    )
+    return left.drop("slices"), right.drop("slices"), total
+
+
+def block_pairs(
+    queries: DataFrame, records: DataFrame, text: str = "canonical_address", pairs_per_slice: int = PAIRS_PER_SLICE
+) -> DataFrame:
     """Scored (query_id, address_id) pairs of each query's block, with the strategy.
 
     Both inputs carry clean components (``clean_columns``) and should be stored tables.
-
-    Crowded blocks are sliced, so a city that holds a third of the addresses is spread over
-    many tasks.
     """
-    chosen = materialize(chosen_blocks(queries, records), "blocks")
+    chosen = materialize(chosen_blocks(queries, records), "chosen")
     q = _side(queries, "q_", ["query_id"])
     r = _side(records, "r_", ["address_id"])
-    left = chosen.join(q, "query_id")
-    right = block_keys(records, "address_id").join(chosen.select("level", "key").distinct(), ["level", "key"], "left_semi")
-    right = right.join(r, "address_id")
-    left, right = salted_sides(left, right, ["level", "key"], "query_id")
+    placed = block_keys(records, "address_id").join(chosen.select("level", "key").distinct(), ["level", "key"], "left_semi")
+    left, right, total = _sliced(chosen, placed, pairs_per_slice)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n = max(cores, min(100_000, -(-total // pairs_per_slice)))
+    on = ["level", "key", "slice"]
+    left = left.join(q, "query_id").repartition(n, *on)
+    right = right.join(r, "address_id").repartition(n, *on)
     names = F.array(*[F.lit(s) for s in STRATEGIES])
-    pairs = left.join(right, ["level", "key", "_salt"]).withColumn("strategy", F.element_at(names, F.col("level") + 1))
+    met = left.hint("shuffle_hash").join(right, on)
+    pairs = met.withColumn("strategy", F.element_at(names, F.col("level") + 1))
     out = scored(pairs).select("query_id", "address_id", "strategy", "score", "exact_count", *[f"s_{f}" for f in FIELDS])
     open_queries = queries.join(chosen, "query_id", "left_anti")
     if open_queries.isEmpty():
@@ -262,6 +301,54 @@ def top_matches(pairs: DataFrame, n: int = 3) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+DENSE_PAIRS = 2_000
+KINDS = {**{f: "grams" for f in GRAM_FIELDS}, **{f: "words" for f in TOKEN_FIELDS}, "pincode": "exact"}
+
+
+def best_matches(
+    queries: DataFrame, records: DataFrame, n: int = 3, dense_pairs: int = DENSE_PAIRS, text: str = "canonical_address"
+) -> DataFrame:
+    """Top n addresses per query: the result of ``top_matches(block_pairs(...))``.
+
+    Blocks with more than ``dense_pairs`` pairs are scored cell by cell (``address_dense``);
+    their pairs never become rows. Small blocks and token candidates stay in the join.
+    """
+    chosen = materialize(chosen_blocks(queries, records), "chosen")
+    placed = block_keys(records, "address_id").join(chosen.select("level", "key").distinct(), ["level", "key"], "left_semi")
+    placed = materialize(placed, "placed")
+    sizes = chosen.groupBy("level", "key").agg(F.count("*").alias("nq")).join(
+        placed.groupBy("level", "key").agg(F.count("*").alias("nr")), ["level", "key"]
+    )
+    sizes = materialize(sizes.withColumn("dense", F.col("nq") * F.col("nr") > dense_pairs), "sizes")
+    names = F.array(*[F.lit(s) for s in STRATEGIES])
+    strategy = F.element_at(names, F.col("level") + 1).alias("strategy")
+
+    def sides(dense: bool) -> tuple[DataFrame, DataFrame]:
+        blocks = sizes.filter(F.col("dense") == dense).select("level", "key")
+        return chosen.join(blocks, ["level", "key"], "left_semi"), placed.join(blocks, ["level", "key"], "left_semi")
+
+    cols = ["query_id", "address_id", "strategy", "score", "exact_count"]
+    few_q, few_r = sides(False)
+    q = _side(queries, "q_", ["query_id"])
+    r = _side(records, "r_", ["address_id"])
+    found = scored(
+        few_q.join(q, "query_id").join(few_r.join(r, "address_id"), ["level", "key"]).withColumn("strategy", strategy)
+    ).select(*cols)
+    if not sizes.filter("dense").isEmpty():
+        many_q, many_r = sides(True)
+        winners = dense_matches(
+            many_q.join(queries.select("query_id", *FIELDS), "query_id"),
+            many_r.join(records.select("address_id", *FIELDS), "address_id"),
+            sizes.filter("dense"), FIELD_WEIGHTS, KINDS, STRONG_FIELDS, n,
+        )
+        found = found.unionByName(winners.select("query_id", "address_id", strategy, F.round("score", 9).alias("score"), "exact_count"))
+    open_queries = queries.join(chosen, "query_id", "left_anti")
+    if not open_queries.isEmpty():
+        by_token = token_candidates(open_queries, records, text)
+        found = found.unionByName(scored(by_token.join(q, "query_id").join(r, "address_id")).select(*cols))
+    return top_matches(found, n)
+
+
 # ------------------------------------------------------------------ decision
 def confidence(best: Column, second: Column, strong_fields: Column) -> Column:
     gap = F.when(second.isNotNull(), F.least(F.lit(0.08), F.greatest(F.lit(0.0), best - second))).otherwise(0.0)
@@ -319,6 +406,6 @@ def resolve(queries: DataFrame, records: DataFrame, raw: str = "raw_address") ->
     parsed = clean_columns(parse_raw(texts.withColumnRenamed("lead", "query_id"), raw))
     parsed = materialize(parsed, "address-queries")
     stored = materialize(clean_columns(parse_canonical(records)), "address-records")
-    decisions = decide(parsed, top_matches(block_pairs(parsed, stored)), stored)
+    decisions = decide(parsed, best_matches(parsed, stored), stored)
     lead = queries.join(texts, raw).select("query_id", "lead")
     return lead.join(decisions.withColumnRenamed("query_id", "lead"), "lead").drop("lead")

@@ -288,11 +288,11 @@ def a15(d):
 
 @query("a16_top_matches", "SELECT query_id, address_id, strategy, score, exact_count, CAST(place AS INTEGER) AS place FROM a_top")
 def a16(d):
-    return R.top_matches(pairs(d)).select("query_id", "address_id", "strategy", "score", "exact_count", "place")
+    return R.best_matches(queries(d), records(d)).select("query_id", "address_id", "strategy", "score", "exact_count", "place")
 
 
 def decided(d):
-    return R.decide(queries(d), R.top_matches(pairs(d)), records(d))
+    return R.decide(queries(d), R.best_matches(queries(d), records(d)), records(d))
 
 
 @query("a17_confidence", "SELECT query_id, confidence FROM a_decided")
