@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdigris.functions.exprs import map_literal
+
 # Abbreviated words and what they stand for. "h no" is handled by HOUSE_NO.
 ABBREVIATIONS = {
     "apt": "apartment", "appt": "apartment", "flt": "flat", "hno": "house number", "rd": "road",
@@ -72,14 +74,10 @@ def basic(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
-def word_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
 def expand(cleaned: Column) -> Column:
     """Spell out abbreviated words of text that ``basic`` has cleaned (words and blanks only)."""
     words = F.split(F.regexp_replace(cleaned, *HOUSE_NO), " ")
-    table = word_map(ABBREVIATIONS)
+    table = map_literal(ABBREVIATIONS)
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
@@ -92,7 +90,7 @@ def short_form(c: Column) -> Column:
 def alias(c: Column, table: dict[str, str]) -> Column:
     """Canonical name of an exact alias; other text is kept as cleaned."""
     text = basic(c)
-    return F.coalesce(F.try_element_at(word_map(table), text), text)
+    return F.coalesce(F.try_element_at(map_literal(table), text), text)
 
 
 def detect(text: Column, table: dict[str, str]) -> Column:
@@ -101,10 +99,10 @@ def detect(text: Column, table: dict[str, str]) -> Column:
     One scan collects every alias present; the best place in the length order wins.
     """
     order = sorted(table, key=lambda name: -len(name))
-    place = F.create_map(*[x for i, name in enumerate(order) for x in (F.lit(name), F.lit(i + 1))])
+    place = map_literal({name: i + 1 for i, name in enumerate(order)})
     found = F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(order)})\b"), 1)
     best = F.array_min(F.transform(found, lambda a: F.try_element_at(place, a)))
-    return F.try_element_at(F.array(*[F.lit(table[name]) for name in order]), best)
+    return F.try_element_at(map_literal({i + 1: table[name] for i, name in enumerate(order)}), best)
 
 
 def pincode(text: Column) -> Column:

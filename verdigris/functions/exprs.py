@@ -82,10 +82,24 @@ def tier_of_score(score: Column, limits) -> Column:
     return out.otherwise("LOW")
 
 
+def sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def map_literal(table: dict) -> Column:
+    """A constant dictionary as one map expression (one call into the JVM)."""
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items()) + ")")
+
+
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
-    """Constant dictionary as a map literal; null (or the default) when the key is absent."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), c)
+    """Value of a constant dictionary; null (or the default) when the key is absent."""
+    found = F.try_element_at(map_literal(table), c)
     return found if default is None else F.coalesce(found, default)
 
 

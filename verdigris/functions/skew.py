@@ -14,6 +14,8 @@ def salted_sides(
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides a ``_salt`` column to add to an equi-join on ``keys``.
 
+    ``left`` should be cheap to read twice (a stored table). Without any hot key the salt is 0.
+
     Keys with more than ``hot_rows`` left rows are cut into slices on the left and copied
     to every slice on the right. The list of such keys keeps at most HOT_LIST_ROWS rows so
     it can be broadcast; a key left out of it is only unsalted, the join result is the same.
@@ -26,6 +28,9 @@ def salted_sides(
         .limit(HOT_LIST_ROWS)
         .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_slices"))
     )
+    if hot.isEmpty():
+        zero = F.lit(0).alias("_salt")
+        return left.select("*", zero), right.select("*", zero)
     hot = F.broadcast(hot)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     l = left.join(hot, keys, "left").withColumn(

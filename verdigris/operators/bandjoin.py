@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.skew import salted_sides
+from verdigris.session import materialize
 
 
 def time_cells(
@@ -37,7 +38,7 @@ def close_pairs(
     events: DataFrame, keys: list[str], id_col: str, time_us: str, window_us: int
 ) -> DataFrame:
     """(keys, id_1 < id_2) for ids with two events at most ``window_us`` apart. May repeat."""
-    cells = time_cells(events, keys, id_col, time_us, window_us)
+    cells = materialize(time_cells(events, keys, id_col, time_us, window_us), "cells")
     earlier = cells.select(*keys, "bucket", F.col("id").alias("a"), F.col("last_t").alias("a_last"))
     later = cells.select(
         *keys,

@@ -1,9 +1,9 @@
 """Connected components by contraction.
 
-Each round every vertex points at its lowest-ranked neighbor (itself included) and the edge
-list is rewritten onto those targets. Ranks are re-hashed every round, so a constant share of
-the vertices disappears per round whatever the shape of the graph (a long path contracts as
-fast as a star) and the edges shrink with them. Nothing but a row count reaches the driver.
+Each round every vertex points at its lowest-ranked neighbor (itself included), pointers are
+followed a few steps, and the edge list is rewritten onto the targets. Ranks are re-hashed
+every round, so a constant share of the vertices disappears per round whatever the shape of
+the graph (a long path contracts as fast as a star) and the edges shrink with them. Nothing but a row count reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,7 +31,13 @@ def _lowest_neighbor(edges: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "account_id_2") -> DataFrame:
+def _jump(step: DataFrame) -> DataFrame:
+    """Follow each pointer through its target's pointer."""
+    ahead = step.select(F.col("v").alias("target"), F.col("target").alias("further"))
+    return step.join(ahead, "target").select("v", F.col("further").alias("target"))
+
+
+def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "account_id_2", jumps: int = 2) -> DataFrame:
     """(id, component) for every id with an edge; component = smallest id in it."""
     current = materialize(
         edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("w"))
@@ -39,17 +45,13 @@ def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "accoun
         .distinct(),
         "cc-edges",
     )
-    owner = None
-    turn = 0
+    steps: list[DataFrame] = []
     while not current.isEmpty():
-        turn += 1
-        step = materialize(_lowest_neighbor(current, turn), "cc-step")
-        if owner is None:
-            owner = step.select(F.col("v").alias("id"), F.col("target").alias("root"))
-        else:
-            moved = owner.join(step, owner["root"] == step["v"], "left")
-            owner = moved.select("id", F.coalesce("target", "root").alias("root"))
-        owner = materialize(owner, "cc-owner")
+        step = materialize(_lowest_neighbor(current, len(steps) + 1), "cc-step")
+        for _ in range(jumps):
+            step = _jump(step)
+        step = materialize(step, "cc-step")
+        steps.append(step)
         to_u = step.select(F.col("v").alias("u"), F.col("target").alias("tu"))
         to_w = step.select(F.col("v").alias("w"), F.col("target").alias("tw"))
         current = materialize(
@@ -60,11 +62,17 @@ def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "accoun
             .distinct(),
             "cc-edges",
         )
-    if owner is None:
-        kind = current.schema["u"].dataType
-        return current.sparkSession.createDataFrame([], "x INT").select(
-            F.lit(None).cast(kind).alias("id"), F.lit(None).cast(kind).alias("component")
+    if not steps:
+        nothing = current.filter(F.lit(False))
+        return nothing.select(F.col("u").alias("id"), F.col("u").alias("component"))
+    # Later rounds hold ever fewer vertices, so compose from the last one back.
+    owner = steps[-1].select(F.col("v").alias("id"), F.col("target").alias("root"))
+    for step in reversed(steps[:-1]):
+        later = owner.select(F.col("id").alias("target"), F.col("root").alias("deeper"))
+        owner = step.join(later, "target", "left").select(
+            F.col("v").alias("id"), F.coalesce("deeper", "target").alias("root")
         )
+    owner = materialize(owner, "cc-owner")
     names = owner.groupBy("root").agg(F.min("id").alias("component"))
     return owner.join(names, "root").select("id", "component")
 
