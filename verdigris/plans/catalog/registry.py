@@ -10,12 +10,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.plans.catalog.prelude import PRELUDE
+from verdigris.session import prepare
 from verdigris.sources.fixtures import Data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_STAGED: dict[tuple, Data] = {}
+SOURCES = ["customer", "orders", "lineitem", "part", "events"]
+
+
+def staged(spark: SparkSession, folder: str) -> Data:
+    """The derived tables of one folder, shared by the queries of one application.
+
+    Stored intermediates (orders, features, edges, candidates) are artifacts that later steps
+    read, so they are written once per state of the input files.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    state = []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, folder, tuple(state))
+    if key not in _STAGED:
+        _STAGED.clear()
+        _STAGED[key] = Data(spark, folder)
+    prepare(spark)
+    return _STAGED[key]
+
+
+def forget_staged() -> None:
+    """Make the next query build its own intermediates (used by the bench)."""
+    _STAGED.clear()
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Timestamps without zone, so both engines report one type."""
     stamps = {
@@ -47,7 +77,7 @@ def with_prelude(body: str) -> str:
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[Data], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return flat(fn(Data(spark, folder)))
+            return flat(fn(staged(spark, folder)))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
