@@ -245,7 +245,7 @@ SELECT a.account_id,
   coalesce(pp, 0) AS accounts_per_phone, coalesce(pi_, 0) AS accounts_per_instrument,
   coalesce(sd, 0) AS shared_device_count, coalesce(sa, 0) AS shared_address_count,
   coalesce(sp, 0) AS shared_phone_count, coalesce(si, 0) AS shared_instrument_count,
-  coalesce(da, 0) AS has_shared_device_and_address, coalesce(ip, 0) AS has_shared_payment_and_phone,
+  CAST(coalesce(da, 0) AS BIGINT) AS has_shared_device_and_address, CAST(coalesce(ip, 0) AS BIGINT) AS has_shared_payment_and_phone,
   coalesce(kinds, 0) AS shared_entity_types_count, coalesce(ipn, 0) AS shared_ip_prefix_count
 FROM fx_accounts a
 LEFT JOIN (SELECT account_id, avg(n) FILTER (kind = 'device') AS pd, avg(n) FILTER (kind = 'address') AS pa,
