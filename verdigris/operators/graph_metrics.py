@@ -89,41 +89,47 @@ def pagerank(
 
 
 def eigenvector_centrality(
-    accounts: DataFrame, edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6, fixed: bool = False
+    accounts: DataFrame,
+    edges: DataFrame,
+    max_iter: int = 1000,
+    tol: float = 1e-6,
+    fixed: bool = False,
+    keep_every: int = 5,
 ) -> DataFrame:
     """Weighted eigenvector centrality: power iteration on A + I from a uniform start.
 
-    Isolated vertices keep their start value up to normalization, a scalar. Raises if not
-    converged, unless ``fixed`` asks for exactly ``max_iter`` rounds.
+    Scaling commutes with the iteration, so lengths are normalized and compared once per
+    ``keep_every`` rounds, and only those rounds are stored. Isolated vertices keep their start
+    value up to scale, a scalar. Raises if not converged, unless ``fixed`` asks for exactly
+    ``max_iter`` rounds.
     """
     n = accounts.count()
-    links = materialize(both_directions(edges).select("src", "dst", "weight"), "ev-links")
-    nodes = materialize(links.select(F.col("src").alias("v")).distinct(), "ev-nodes")
+    sym = both_directions(edges).select("src", "dst", "weight")
+    nodes = materialize(sym.select(F.col("src").alias("v")).distinct(), "ev-nodes")
+    loops = nodes.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight"))
+    links = materialize(sym.unionByName(loops), "ev-links")
     isolated = n - nodes.count()
-    lone = 1.0 / n
-    x = nodes.withColumn("x", F.lit(1.0 / n))
-    done = False
-    for _ in range(max_iter):
-        pulled = (
-            links.join(x, links["src"] == x["v"])
-            .groupBy("dst")
-            .agg(F.sum(F.col("x") * F.col("weight")).alias("pull"))
-            .withColumnRenamed("dst", "v")
-        )
-        grown = materialize(
-            x.join(pulled, "v").select("v", F.col("x").alias("old"), (F.col("x") + F.col("pull")).alias("y")),
-            "ev",
-        )
-        norm2 = (grown.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0) + isolated * lone * lone
-        norm = norm2**0.5 or 1.0
-        x = grown.select("v", (F.col("y") / F.lit(norm)).alias("x"))
-        lone_next = lone / norm
+
+    def grow(x: DataFrame) -> DataFrame:
+        met = links.join(x, links["src"] == x["v"])
+        return met.groupBy("dst").agg(F.sum(F.col("x") * F.col("weight")).alias("x")).withColumnRenamed("dst", "v")
+
+    x, lone, done, turn = nodes.withColumn("x", F.lit(1.0 / n)), 1.0 / n, False, 0
+    while turn < max_iter and not done:
+        rounds = min(keep_every, max_iter - turn)
+        for _ in range(rounds - 1):
+            x = grow(x)
+        x = materialize(x, "ev-old")
+        both = materialize(x.withColumnRenamed("x", "old").join(grow(x), "v"), "ev")
+        size = both.agg(F.sum(F.col("old") * F.col("old")).alias("o"), F.sum(F.col("x") * F.col("x")).alias("x")).first()
+        rest = isolated * lone * lone
+        old_len, new_len = (((size[k] or 0.0) + rest) ** 0.5 or 1.0 for k in ("o", "x"))
         if not fixed:
-            moved = grown.agg(F.sum(F.abs(F.col("y") / F.lit(norm) - F.col("old")))).first()[0] or 0.0
-            done = moved + isolated * abs(lone_next - lone) < n * tol
-        lone = lone_next
-        if done:
-            break
+            gap = F.abs(F.col("x") / F.lit(new_len) - F.col("old") / F.lit(old_len))
+            moved = (both.agg(F.sum(gap)).first()[0] or 0.0) + isolated * abs(lone / new_len - lone / old_len)
+            done = moved < n * tol
+        x = both.select("v", (F.col("x") / F.lit(new_len)).alias("x"))
+        lone, turn = lone / new_len, turn + rounds
     if not done and not fixed:
         raise RuntimeError(f"eigenvector centrality did not converge in {max_iter} rounds")
     return (
