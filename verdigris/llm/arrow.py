@@ -6,6 +6,8 @@ import pathlib
 import tempfile
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -36,3 +38,50 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
 
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
+
+
+def groups(batches, key: str):
+    """Complete runs of rows with equal ``key`` from batches sorted by it, one table each.
+
+    Runs must be of bounded size; only the last run of a batch waits for the next one.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        keys = table.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for a, b in zip(starts, starts[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(starts[-1]) if len(keys) else rest
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Rows of equally long binary values as a matrix of numbers."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(values, pa.ChunkedArray):
+        values = pa.concat_arrays(values.chunks)
+    rows = values.to_pylist()
+    width = max(map(len, rows), default=0)
+    data = b"".join(r if len(r) == width else r.ljust(width, b"\0") for r in rows)
+    return np.frombuffer(data, kind).reshape(len(rows), -1)
+
+
+def good_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which vectors are present and hold finite numbers only, and those vectors."""
+    keep, out = np.zeros(len(column), bool), []
+    for k, v in enumerate(column):
+        if not v.is_valid:
+            continue
+        x = v.values
+        if x.null_count:
+            continue
+        x = x.to_numpy(zero_copy_only=False)
+        if np.isfinite(x).all():
+            keep[k] = True
+            out.append(x)
+    return keep, out

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.llm.embedding_dups import near_duplicates
 from verdigris.llm.mixing import taken_words
+from verdigris.llm.packing import pack
 from verdigris.llm.sharding import shard_rows
 from verdigris.llm.token_counts import token_counts
+from verdigris.llm.topk import top_k
 from verdigris.llm.url_filter import judge_urls
 from verdigris.session import prepare
 
@@ -64,3 +67,27 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_url_filter")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), PAGE_RULES)
+
+
+@query("op7_embedding_dups")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary())
+
+
+@query(
+    "op10_topk",
+    """WITH v AS (
+         SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+       p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+             FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+       SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"))

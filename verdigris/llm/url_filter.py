@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,19 @@ class RuleArray:
         return out
 
 
+_SENT: dict[tuple, str] = {}
+
+
+def _sent(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+    """Name under which every worker finds the rule file; sent once per application and list."""
+    key = spark.sparkContext.applicationId, tuple(rules)
+    if key not in _SENT:
+        stored = write_rules(rules, tempfile.mkdtemp(prefix="rules-"))
+        spark.sparkContext.addFile(stored)
+        _SENT[key] = os.path.basename(stored)
+    return _SENT[key]
+
+
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
@@ -90,10 +103,7 @@ def judge_urls(
     digests names only what it knows. A null URL or one without ``://`` has empty host and path
     and fits no rule. Repeated rows and null ids come back as they are; other columns are ignored.
     """
-    folder = tempfile.mkdtemp(prefix="rules-")
-    stored = write_rules(rules, folder)
-    pages.sparkSession.sparkContext.addFile(stored)
-    name = os.path.basename(stored)
+    name = _sent(pages.sparkSession, rules)
     lengths = sorted({len(p.encode()) for _, _, p in rules})
     longest = max((h.count(".") + 1 for _, h, _ in rules), default=0)
     host, path = host_and_path(F.col(url_col))
