@@ -10,6 +10,7 @@ from verdigris.llm.embedding_dups import near_duplicates
 from verdigris.llm.mixing import taken_words
 from verdigris.llm.packing import pack
 from verdigris.llm.sharding import shard_rows
+from verdigris.llm.substring_dedup import repeat_report
 from verdigris.llm.token_counts import token_counts
 from verdigris.llm.topk import top_k
 from verdigris.llm.url_filter import judge_urls
@@ -91,3 +92,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_report(table(spark, folder, "documents"))

@@ -53,15 +53,15 @@ def _powers_for(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, 1 << max(12, int(n).bit_length()))
 
 
-def slices(arr: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Parts of a text column of at most about SLICE_BYTES (one longer text alone), with their first row."""
+def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a text column of at most ``limit`` bytes (one longer text alone), with their first row."""
     arr = arr.cast(pa.large_string())
     sizes = np.diff(_offsets(arr))
     at = 0
     ends = np.cumsum(sizes)
     while at < len(arr):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, arr.slice(at, to - at)
         at = to
 
