@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm.embedding_dups import near_duplicates
+from verdigris.llm.jaccard_join import similar_components
 from verdigris.llm.mixing import taken_words
 from verdigris.llm.packing import pack
 from verdigris.llm.sharding import shard_rows
@@ -60,6 +61,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"))
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_components(table(spark, folder, "documents"), size=3, percent=90).drop("rid")
+
+
 @query("op5_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(table(spark, folder, "documents"))
