@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.llm import toxicity
 from verdigris.llm.embedding_dups import near_duplicates
 from verdigris.llm.jaccard_join import similar_components
 from verdigris.llm.mixing import taken_words
@@ -56,6 +57,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary())
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 @query("op3_shards")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"))
