@@ -6,17 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.llm.jaccard_join import one_of_each
 from verdigris.llm.mixing import mixed_documents
+from verdigris.llm.packing import pack
+from verdigris.llm.queries import vocabulary
+from verdigris.llm.substring_dedup import without_repeats
+from verdigris.llm.toxicity import without_toxic
 from verdigris.session import materialize
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier trained on this folder's labels does not reject."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return one_of_each(docs, size=5, percent=80)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 20-word passages that start earlier in the corpus."""
+    return without_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source near its target share; documents repeat or go."""
+    """Each source near its target share: documents come twice, once, in part or not at all."""
     return mixed_documents(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of at most 2048 tokens."""
+    return pack(docs, vocabulary())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeats),
     ("mixing", mix),
+    ("packing", packing),
 ]
 
 ORACLE_SQL = None  # a trained classifier and a tokenizer's ids have no SQL twin
