@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.arrow import arrow_map, field
+from verdigris.llm.arrow import arrow_map, field, fresh
 from verdigris.llm.embedding_dups import _union
 from verdigris.llm.substring_dedup import _runs_over_batches
 from verdigris.llm.words import Words, mix, runs, slices
@@ -256,6 +256,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     mine = found.select("rid", F.col(id_col).alias("id"), "component_id", "n_shingles")
     alone = mine.filter((F.col("n_shingles") == 0) | F.col("component_id").isNull()).select("rid")
     first = mine.filter((F.col("n_shingles") > 0) & (F.col("id") == F.col("component_id"))).groupBy("component_id").agg(F.min("rid").alias("rid")).select("rid")
-    stays = alone.unionByName(first).withColumnRenamed("rid", "_rid")
-    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_rid"))
-    return rows.join(stays, "_rid", "left_semi").select(*docs.columns)
+    row = fresh("_rid", docs.columns)
+    stays = alone.unionByName(first).withColumnRenamed("rid", row)
+    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row))
+    return rows.join(stays, row, "left_semi").select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.functions.running import ranked, running_sums
-from verdigris.llm.arrow import arrow_map
+from verdigris.llm.arrow import arrow_map, fresh
 from verdigris.llm.words import Words, word_counts
 from verdigris.session import materialize
 
@@ -148,13 +148,17 @@ def mixed_documents(
     parts, _ = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     taken = parts.groupBy("rid", "epoch").agg(F.sum("words").cast("long").alias("_words"))
     columns = [F.col(c) for c in docs.columns]
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias("_rid"))
-    rows = rows.join(taken.withColumnRenamed("rid", "_rid"), "_rid").select(*columns, "_words")
-    at = docs.columns.index(text_col)
+    row, words_col = fresh("_rid", docs.columns), fresh("_words", docs.columns)
+    rows = docs.select(*columns, F.monotonically_increasing_id().alias(row))
+    rows = rows.join(taken.select(F.col("rid").alias(row), F.col("_words").alias(words_col)), row).select(*columns, words_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, words = b.column(at), b.column(len(docs.columns)).to_numpy()
+            if not b.num_rows:
+                continue
+            text, words = b.column(at), b.column(len(names)).to_numpy()
             table = Words(text)
             cut = words < table.count
             if cut.any():
@@ -163,6 +167,6 @@ def mixed_documents(
                 for row, stop in zip(cut.nonzero()[0], end):
                     values[row] = values[row].encode()[:stop].decode()
                 text = pa.array(values, text.type)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], text, *b.columns[at + 1 : -1]], docs.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], text, *b.columns[at + 1 : -1]], names)
 
     return arrow_map(rows, trim, docs.schema)

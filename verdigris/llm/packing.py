@@ -5,9 +5,9 @@ piece lengths (at most ``capacity`` numbers). The configuration program over tha
 minimize the number of sequences such that the chosen patterns hold every piece, is solved by
 multiplicative weights: a dynamic program over the capacity prices, for every length, the best
 pattern that holds it; each round adds those patterns and lowers the weight of what they
-cover. Whole parts of the solution become patterns with counts, the rest of the histogram is
-solved again while that helps, and what is left is placed best fit, longest first, still in
-counts. The plan's size depends on the capacity, not on the number of documents.
+cover. Whole parts of the fullest patterns become patterns with counts and what is left is
+placed best fit, longest first, still in counts; of several shares of the whole patterns the one
+that needs the fewest sequences is kept. The plan's size depends on the capacity, not on the number of documents.
 
 Pieces are then ranked within their length, and a piece's length and rank give its sequence.
 """
@@ -30,7 +30,8 @@ from verdigris.llm.bpe_transducer import transducer
 from verdigris.llm.words import slices
 from verdigris.session import materialize
 
-ROUNDS, PHASES, STEP = 12, 1, 0.35
+ROUNDS, STEP = 12, 0.35
+ROUNDING = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)  # shares of the whole patterns that are tried
 
 
 def token_pieces(
@@ -78,8 +79,9 @@ def _best_patterns(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tup
         value[c], last[c] = value[c - 1], -2  # -2: as with one token less
         n = fitting[c]
         if n:
-            options = value[c - lengths[:n]] + worth[:n]
-            k = int(options.argmax())
+            options = (value[c - lengths[:n]] + worth[:n])[::-1]
+            k = n - 1 - int(options.argmax())  # among equals the longest: short pieces fill gaps later
+            options = options[::-1]
             if options[k] > value[c]:
                 value[c], last[c] = options[k], k
     return value, last
@@ -101,7 +103,7 @@ def solve_fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rou
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
     for n in range(rounds):
-        worth = lengths * np.exp(-STEP * (covered / counts) * rounds / (n + 1))
+        worth = lengths * (1 + 0.01 * lengths / capacity) * np.exp(-STEP * (covered / counts) * rounds / (n + 1))
         _, last = _best_patterns(lengths, worth, capacity)
         gain = np.zeros(len(lengths))
         for k in range(len(lengths)):
@@ -158,26 +160,28 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     """Patterns of (length, copies) and how many sequences use each; together exactly the histogram."""
     left = {int(k): int(v) for k, v in histogram.items() if v}
-    plan: list[tuple[tuple, int]] = []
-    for _ in range(PHASES):
-        if sum(left.values()) < 8 * max(1, len(left)):
-            break
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(k)] for k in lengths], float)
-        used = solve_fractional(lengths, counts, capacity)
-        before = sum(k * v for k, v in left.items())
-        fullest = max(sum(n * a for n, a in p) for p in used)
-        # Fuller patterns first: what they take is settled, the rest is solved again.
-        for pattern, amount in sorted(used.items(), key=lambda u: (-sum(n * a for n, a in u[0]), u[0])):
-            times = min(int(amount), *[left.get(n, 0) // a for n, a in pattern])
-            if times and sum(n * a for n, a in pattern) == fullest:
+    if not left:
+        return []
+    lengths = np.array(sorted(left), np.int64)
+    used = solve_fractional(lengths, np.array([left[int(k)] for k in lengths], float), capacity)
+    filled = {p: sum(n * a for n, a in p) for p in used}
+    fullest = max(filled.values())
+    # Whole parts of the fullest patterns, those with the longest pieces first.
+    whole = [(p, int(x)) for p, x in used.items() if int(x) and filled[p] == fullest]
+    whole.sort(key=lambda u: (-u[0][-1][0], u[0]))
+    best: list[tuple[tuple, int]] | None = None
+    for cut in ROUNDING:
+        rest, plan = dict(left), []
+        for pattern, amount in whole[: int(len(whole) * cut)]:
+            times = min(amount, *[rest[n] // a for n, a in pattern])
+            if times:
                 plan.append((pattern, times))
                 for n, a in pattern:
-                    left[n] -= times * a
-        left = {k: v for k, v in left.items() if v}
-        if sum(k * v for k, v in left.items()) > 0.9 * before:
-            break
-    return plan + _best_fit(left, capacity)
+                    rest[n] -= times * a
+        plan += _best_fit({n: c for n, c in rest.items() if c}, capacity)
+        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+            best = plan
+    return best
 
 
 class _Placer:
