@@ -6,8 +6,9 @@ minimize the number of sequences such that the chosen patterns hold every piece,
 multiplicative weights: a dynamic program over the capacity prices, for every length, the best
 pattern that holds it; each round adds those patterns and lowers the weight of what they
 cover. Whole parts of the fullest patterns become patterns with counts and what is left is
-placed best fit, longest first, still in counts; of several shares of the whole patterns the one
-that needs the fewest sequences is kept. The plan's size depends on the capacity, not on the number of documents.
+placed best fit, longest first, still in counts; of several such roundings the one that needs
+the fewest sequences is kept. The plan's size depends on the capacity, not on the number of
+documents.
 
 Pieces are then ranked within their length, and a piece's length and rank give its sequence.
 """
@@ -31,7 +32,7 @@ from verdigris.llm.words import slices
 from verdigris.session import materialize
 
 ROUNDS, STEP = 12, 0.35
-ROUNDING = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)  # shares of the whole patterns that are tried
+SLACK, SHARES = (0.0, 0.05), (100, 90, 75, 50, 25, 10)  # roundings that are tried: least fill, percent of the whole patterns
 
 
 def token_pieces(
@@ -166,21 +167,21 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple,
     used = solve_fractional(lengths, np.array([left[int(k)] for k in lengths], float), capacity)
     filled = {p: sum(n * a for n, a in p) for p in used}
     fullest = max(filled.values())
-    # Whole parts of the fullest patterns, those with the longest pieces first.
-    whole = [(p, int(x)) for p, x in used.items() if int(x) and filled[p] == fullest]
-    whole.sort(key=lambda u: (-u[0][-1][0], u[0]))
     best: list[tuple[tuple, int]] | None = None
-    for cut in ROUNDING:
-        rest, plan = dict(left), []
-        for pattern, amount in whole[: int(len(whole) * cut)]:
-            times = min(amount, *[rest[n] // a for n, a in pattern])
-            if times:
-                plan.append((pattern, times))
-                for n, a in pattern:
-                    rest[n] -= times * a
-        plan += _best_fit({n: c for n, c in rest.items() if c}, capacity)
-        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
-            best = plan
+    for slack in SLACK:  # whole parts of patterns about as full as the fullest, longest pieces first
+        whole = [(p, int(x)) for p, x in used.items() if int(x) and filled[p] >= fullest - slack * capacity]
+        whole.sort(key=lambda u: (-filled[u[0]], -u[0][-1][0], u[0]))
+        for cut in SHARES:
+            rest, plan = dict(left), []
+            for pattern, amount in whole[: -(-len(whole) * cut // 100)]:
+                times = min(amount, *[rest[n] // a for n, a in pattern])
+                if times:
+                    plan.append((pattern, times))
+                    for n, a in pattern:
+                        rest[n] -= times * a
+            plan += _best_fit({n: c for n, c in rest.items() if c}, capacity)
+            if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+                best = plan
     return best
 
 
