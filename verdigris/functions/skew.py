@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 20_000
-HOT_LIST_ROWS = 100_000
 
 
 def salted_sides(
@@ -17,21 +16,18 @@ def salted_sides(
     ``left`` should be cheap to read twice (a stored table). Without any hot key the salt is 0.
 
     Keys with more than ``hot_rows`` left rows are cut into slices on the left and copied
-    to every slice on the right. The list of such keys keeps at most HOT_LIST_ROWS rows so
-    it can be broadcast; a key left out of it is only unsalted, the join result is the same.
+    to every slice on the right. The list of such keys is joined like any table; it is a share
+    of 1 / ``hot_rows`` of the rows at most, and its measured size decides how.
     """
     hot = (
         left.groupBy(*keys)
         .count()
         .filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"))
-        .limit(HOT_LIST_ROWS)
         .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_slices"))
     )
     if hot.isEmpty():
         zero = F.lit(0).alias("_salt")
         return left.select("*", zero), right.select("*", zero)
-    hot = F.broadcast(hot)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     l = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread_on), slices).cast("int")

@@ -400,12 +400,13 @@ def decide(queries: DataFrame, matches: DataFrame, records: DataFrame) -> DataFr
 def resolve(queries: DataFrame, records: DataFrame, raw: str = "raw_address") -> DataFrame:
     """Free text to stored addresses for a whole table of queries.
 
-    Equal texts are resolved once and joined back.
+    Equal texts are resolved once and joined back. A null text has no components.
     """
     texts = queries.groupBy(raw).agg(F.min("query_id").alias("lead"))
     parsed = clean_columns(parse_raw(texts.withColumnRenamed("lead", "query_id"), raw))
     parsed = materialize(parsed, "address-queries")
     stored = materialize(clean_columns(parse_canonical(records)), "address-records")
     decisions = decide(parsed, best_matches(parsed, stored), stored)
-    lead = queries.join(texts, raw).select("query_id", "lead")
+    texts = texts.withColumnRenamed(raw, "_raw")
+    lead = queries.join(texts, queries[raw].eqNullSafe(texts["_raw"])).select("query_id", "lead")
     return lead.join(decisions.withColumnRenamed("query_id", "lead"), "lead").drop("lead")

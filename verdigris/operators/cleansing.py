@@ -81,7 +81,7 @@ def matrix_violations(features: DataFrame) -> DataFrame:
     rows = features.agg(
         F.count("*").alias("n_rows"),
         total_nulls.alias("null_cells"),
-        F.count_if((F.col("return_rate") > 0) & (F.col("total_delivered") == 0)).alias(
+        F.count_if((F.col("return_rate") > 0) & (F.col("total_delivered_orders") == 0)).alias(
             "rate_without_delivery"
         ),
         F.countDistinct("account_id").alias("n_accounts"),

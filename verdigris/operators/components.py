@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.session import materialize
+from verdigris.session import discard, materialize
 
 
 def _lowest_neighbor(edges: DataFrame, turn: int) -> DataFrame:
@@ -47,14 +47,16 @@ def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "accoun
     )
     steps: list[DataFrame] = []
     while not current.isEmpty():
-        step = materialize(_lowest_neighbor(current, len(steps) + 1), "cc-step")
+        near = materialize(_lowest_neighbor(current, len(steps) + 1), "cc-step")
+        step = near
         for _ in range(jumps):
             step = _jump(step)
         step = materialize(step, "cc-step")
+        discard(near)
         steps.append(step)
         to_u = step.select(F.col("v").alias("u"), F.col("target").alias("tu"))
         to_w = step.select(F.col("v").alias("w"), F.col("target").alias("tw"))
-        current = materialize(
+        before, current = current, materialize(
             current.join(to_u, "u")
             .join(to_w, "w")
             .filter(F.col("tu") != F.col("tw"))
@@ -62,6 +64,7 @@ def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "accoun
             .distinct(),
             "cc-edges",
         )
+        discard(before)
     if not steps:
         nothing = current.filter(F.lit(False))
         return nothing.select(F.col("u").alias("id"), F.col("u").alias("component"))
@@ -73,6 +76,7 @@ def component_labels(edges: DataFrame, a: str = "account_id_1", b: str = "accoun
             F.col("v").alias("id"), F.coalesce("deeper", "target").alias("root")
         )
     owner = materialize(owner, "cc-owner")
+    discard(current, *steps)
     names = owner.groupBy("root").agg(F.min("id").alias("component"))
     return owner.join(names, "root").select("id", "component")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.constants import EDGE_WEIGHTS
 from verdigris.operators.components import account_components
 from verdigris.operators.edges import both_directions
-from verdigris.session import materialize
+from verdigris.session import discard, materialize
 
 
 def degree_metrics(accounts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def pagerank(
 
     In an undirected graph the dangling vertices are the isolated ones and all hold one
     common rank, which follows a scalar recurrence. Only connected vertices are iterated,
-    and no global sum over the vertices is needed for the dangling share.
+    and no global sum over the vertices is needed for the dangling share. Raises if not
+    converged; ``tol`` 0 asks for exactly ``max_iter`` rounds.
     """
     n = accounts.count()
     sym = both_directions(edges).select("src", "dst", "weight")
@@ -56,7 +57,7 @@ def pagerank(
     nodes = materialize(out_weight.select(F.col("src").alias("v")), "pr-nodes")
     isolated = n - nodes.count()
     lone = 1.0 / n
-    ranks = nodes.withColumn("r", F.lit(1.0 / n))
+    ranks, kept = nodes.withColumn("r", F.lit(1.0 / n)), None
     for turn in range(1, max_iter + 1):
         lone_next = (1.0 - alpha) / n + alpha * isolated * lone / n
         inflow = (
@@ -72,15 +73,21 @@ def pagerank(
                 both = fresh.join(ranks.withColumnRenamed("r", "old"), "v")
                 both = materialize(both, "pr")
                 moved = both.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
-                ranks = both.select("v", "r")
+                discard(kept)
+                ranks, kept = both.select("v", "r"), both
                 if moved + isolated * abs(lone_next - lone) < n * tol:
                     lone = lone_next
                     break
             else:
-                ranks = materialize(fresh, "pr")
+                fresh = materialize(fresh, "pr")
+                discard(kept)
+                ranks, kept = fresh, fresh
         else:
             ranks = fresh
         lone = lone_next
+    else:
+        if tol > 0:
+            raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
     return (
         accounts.select("account_id")
         .join(ranks.withColumnRenamed("v", "account_id"), "account_id", "left")
@@ -114,13 +121,16 @@ def eigenvector_centrality(
         met = links.join(x, links["src"] == x["v"])
         return met.groupBy("dst").agg(F.sum(F.col("x") * F.col("weight")).alias("x")).withColumnRenamed("dst", "v")
 
+    both = None
     x, lone, done, turn = nodes.withColumn("x", F.lit(1.0 / n)), 1.0 / n, False, 0
     while turn < max_iter and not done:
         rounds = min(keep_every, max_iter - turn)
         for _ in range(rounds - 1):
             x = grow(x)
         x = materialize(x, "ev-old")
-        both = materialize(x.withColumnRenamed("x", "old").join(grow(x), "v"), "ev")
+        discard(both)
+        start, both = x, materialize(x.withColumnRenamed("x", "old").join(grow(x), "v"), "ev")
+        discard(start)
         size = both.agg(F.sum(F.col("old") * F.col("old")).alias("o"), F.sum(F.col("x") * F.col("x")).alias("x")).first()
         rest = isolated * lone * lone
         old_len, new_len = (((size[k] or 0.0) + rest) ** 0.5 or 1.0 for k in ("o", "x"))

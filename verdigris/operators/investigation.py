@@ -501,14 +501,13 @@ def extract_narrative(df: DataFrame, text: str) -> DataFrame:
 
 
 def account_360(queue: DataFrame, facts: DataFrame, evidence: DataFrame, links: DataFrame, contributors: DataFrame, reports: DataFrame) -> DataFrame:
-    """One nested record per queued account (report text: page 0 and the page count)."""
+    """Nested records of the queued accounts, one per account and report page (usually one page)."""
     top = contributors.groupBy("account_id").agg(
         # At most five rows per account.
         F.array_sort(F.collect_list(F.struct("place", "feature", "value", "direction"))).alias("contributors")
     )
-    pages = reports.groupBy("account_id").agg(
-        F.min_by("case_report_text", "page").alias("case_report_text"), F.count("*").alias("report_pages")
-    )
+    count = reports.groupBy("account_id").agg(F.count("*").alias("report_pages"))
+    pages = reports.select("account_id", "page", "case_report_text").join(count, "account_id")
     fact_cols = [c for c in facts.columns if c != "account_id"]
     f = facts.select("account_id", F.struct(*fact_cols).alias("observed_facts"))
     e = evidence.select("account_id", F.struct(*[c for c in evidence.columns if c != "account_id"]).alias("evidence_status"))

@@ -191,13 +191,13 @@ def strongest_internal(members: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def list_rings(table: DataFrame, strongest: DataFrame, limit: int = 25, detected_only: bool = False) -> DataFrame:
-    """Top rings by score with tier, action, exposure and strongest edge.
+def list_rings(table: DataFrame, strongest: DataFrame, limit: int | None = None, detected_only: bool = False) -> DataFrame:
+    """Rings by score with tier, action, exposure and strongest edge: all, or the first ``limit``.
 
     ``table`` carries ring_proba, ring_pred and the candidate columns.
     """
     rows = table.filter(F.col("ring_pred") == 1) if detected_only else table
-    top = rows.orderBy(F.col("ring_proba").desc(), F.col("candidate_id").asc()).limit(max(1, min(limit, 250)))
+    top = rows if limit is None else rows.orderBy(F.col("ring_proba").desc(), F.col("candidate_id").asc()).limit(limit)
     tier = tier_of_score(F.col("ring_proba"), SCORE_TIERS)
     return (
         top.withColumn("risk_tier", tier)

@@ -53,14 +53,18 @@ def ring_aware_split(truth: DataFrame, seed: int = 42, train: float = 0.70, val:
 
 
 def named_ring_split(
-    truth: DataFrame, rings: dict[str, list[str]], seed: int = 42, train: float = 0.5, val: float = 0.2
+    truth: DataFrame, rings: dict[str, list[str]], seed: int = 42, train: float = 0.5, val: float = 0.2, unnamed: str | None = None
 ) -> DataFrame:
-    """Older variant: the rings of each split are named, other accounts split 50/20/30."""
+    """Older variant: the rings of each split are named, other accounts split 50/20/30.
+
+    Rings that no split names go to ``unnamed``; without it, meeting one is an error.
+    """
     member = F.col("true_ring_member")
-    named = F.lit(None).cast("string")
+    lost = F.concat(F.lit("no split names ring "), F.coalesce("abuse_ring_id", F.lit("null")))
+    named = F.lit(unnamed) if unnamed is not None else F.raise_error(lost).cast("string")
     for split, ids in rings.items():
         named = F.when(F.col("abuse_ring_id").isin(ids), split).otherwise(named)
-    inside = truth.filter(member).select("account_id", named.alias("split")).filter("split IS NOT NULL")
+    inside = truth.filter(member).select("account_id", named.alias("split"))
     order = [shuffle_key("account_id", seed).asc(), F.col("account_id").asc()]
     others = _with_total(ranked(truth.filter(~member).select("account_id"), order, name="p"))
     outside = others.select(
@@ -138,7 +142,7 @@ def candidate_groups(candidates: DataFrame, positive_rings: DataFrame) -> DataFr
         F.concat(F.lit("r:"), F.col("abuse_ring_id")).alias("b"),
     )
     labels = component_labels(links, "a", "b").filter(F.col("id").startswith("c:"))
-    labels = labels.select(F.substring("id", 3, 1_000_000).alias("candidate_id"), F.col("component").alias("split_group"))
+    labels = labels.select(F.expr("substring(id, 3)").alias("candidate_id"), F.col("component").alias("split_group"))
     return candidates.select("candidate_id").join(labels, "candidate_id", "left").select(
         "candidate_id",
         F.coalesce("split_group", F.concat(F.lit("c:"), F.col("candidate_id"))).alias("split_group"),

@@ -152,11 +152,15 @@ def s8(d):
 
 
 @query("s9_truncate_keep_schema", """
-SELECT account_id, rank, risk_tier FROM fx_audit WHERE false""")
+SELECT c AS column_name, count(*) AS rows_before, 0::BIGINT AS rows_after FROM fx_audit, (VALUES ('account_id'), ('rank'), ('risk_tier')) AS v(c) GROUP BY 1""")
 def s9(d):
     path = scratch_path(d.spark, "audit-empty")
-    tables.truncate_table(d.audit.select("account_id", "rank", "risk_tier")).write.parquet(path)
-    return d.spark.read.parquet(path)
+    d.audit.select("account_id", "rank", "risk_tier").write.parquet(path)
+    before = d.spark.read.parquet(path).count()
+    tables.truncate_table(d.spark, path)
+    left = d.spark.read.parquet(path)
+    names = F.explode(F.array(*[F.lit(c) for c in left.columns])).alias("column_name")
+    return left.agg(F.count("*").alias("rows_after")).select(names, F.lit(before).cast("bigint").alias("rows_before"), "rows_after")
 
 
 @query("s10_account_lookup", """
@@ -220,7 +224,7 @@ def f4(d):
 SELECT count(*) AS n_rows, count(*) - count(DISTINCT account_id) AS duplicate_accounts, 0::BIGINT AS null_cells,
   count(*) FILTER (return_rate > 0 AND total_delivered_orders = 0) AS rate_without_delivery FROM behavior""")
 def f5(d):
-    return C.matrix_violations(behavior(d).withColumnRenamed("total_delivered_orders", "total_delivered"))
+    return C.matrix_violations(behavior(d))
 
 
 @query("f6_numeric_coercion", """

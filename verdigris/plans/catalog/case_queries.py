@@ -273,7 +273,7 @@ def n18(d):
 
 @query("n19_account_360", """
 SELECT q.account_id, rank, risk_tier, total_orders, community_size, has_dispute_at_cutoff, missing_evidence_count, total_graph_links, strongest_edge_type,
-  (SELECT string_agg(feature || ':' || direction, ',' ORDER BY place) FROM contrib c WHERE c.account_id = q.account_id) AS contributors, case_report_text, 1::BIGINT AS report_pages
+  (SELECT string_agg(feature || ':' || direction, ',' ORDER BY place) FROM contrib c WHERE c.account_id = q.account_id) AS contributors, 0::INTEGER AS page, case_report_text, 1::BIGINT AS report_pages
 FROM queue q JOIN qfacts USING (account_id) JOIN evidence USING (account_id) JOIN gevidence USING (account_id) JOIN reports USING (account_id)""")
 def n19(d):
     full = N.account_360(queue(d), facts(d), N.evidence_gap(queue(d), pre_disputes(d)), N.graph_evidence(queue(d), edges(d)), contributors(d), reports(d))
@@ -282,15 +282,15 @@ def n19(d):
         "evidence_status.has_dispute_at_cutoff", "evidence_status.missing_evidence_count", "graph_evidence.total_graph_links",
         "graph_evidence.strongest_edge_type",
         F.array_join(F.transform("contributors", lambda x: F.concat(x["feature"], F.lit(":"), x["direction"])), ",").alias("contributors"),
-        "case_report_text", "report_pages",
+        "page", "case_report_text", "report_pages",
     )
 
 
 @query("n20_decision_audit", """
 SELECT TIMESTAMP '2000-01-02 00:00:00' AS "timestamp", account_id, 'blend_v1' AS model_version, round(proba, 9) AS proba, rank, risk_tier, true AS top_k_flag, recommended_action AS action_recommended,
-  account_id IN (SELECT account_id FROM qlinks) AS case_report_generated FROM queue""")
+  true AS case_report_generated FROM queue""")
 def n20(d):
-    done = links(d).select("account_id").distinct()
+    done = reports(d).select("account_id").distinct()
     return rounded(A.decision_rows(queue(d), done, "blend_v1", "2000-01-02 00:00:00"), ["proba"])
 
 

@@ -315,12 +315,12 @@ def p1(d):
 
 
 @query("p1b_named_ring_split", """
-SELECT account_id, CASE WHEN abuse_ring_id = 'R0' THEN 'val' WHEN abuse_ring_id = 'R1' THEN 'test' END AS split
-FROM fx_truth WHERE abuse_ring_id IN ('R0', 'R1')
+SELECT account_id, CASE WHEN abuse_ring_id = 'R0' THEN 'val' WHEN abuse_ring_id = 'R1' THEN 'test' ELSE 'train' END AS split
+FROM fx_truth WHERE true_ring_member
 UNION ALL SELECT account_id, CASE WHEN p <= floor(n * 0.5::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.5::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END FROM (
   SELECT account_id, row_number() OVER (ORDER BY md5(CAST(account_id AS VARCHAR) || '|42')) AS p, count(*) OVER () AS n FROM fx_truth WHERE NOT true_ring_member)""")
 def p1b(d):
-    return P.named_ring_split(d.truth, {"val": ["R0"], "test": ["R1"]})
+    return P.named_ring_split(d.truth, {"val": ["R0"], "test": ["R1"]}, unnamed="train")
 
 
 @query("p2_split_checks", """
@@ -500,10 +500,12 @@ def k9(d):
 
 
 @query("k10_input_leakage", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, {'false' if c.endswith('_time') else 'true'} AS present, {'count(*) * 0' if c.endswith('_time') else f'count({c})'} AS filled_rows FROM fx_truth" for c in K.FORBIDDEN_COLUMNS))
+    f"SELECT '{c}' AS column_name, false AS present, count(*) * 0 AS filled_rows FROM kmembers" for c in K.FORBIDDEN_COLUMNS))
 def k10(d):
-    """The truth table holds four of the columns a model table must not have."""
-    return K.leaked_inputs(d.truth)
+    """The table a ring model would learn from holds none of the columns it must not have."""
+    m = members(d)
+    model_table = scored_candidates(d).join(K.edge_stats(m, edges(d)), "candidate_id").join(K.member_aggregates(m, behavior(d)), "candidate_id")
+    return K.leaked_inputs(model_table)
 
 
 _TIER = "CASE WHEN ring_proba >= 0.85 THEN 'CRITICAL' WHEN ring_proba >= 0.65 THEN 'HIGH' WHEN ring_proba >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END"

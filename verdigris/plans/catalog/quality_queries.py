@@ -136,13 +136,12 @@ def q6(d):
 
 
 @query("q7_flag_conflicts", """
-SELECT 'refund_without_flag' AS check_name, count(*) FILTER (NOT refund_flag) AS violations FROM fx_disputes JOIN fx_orders USING (order_id)
-UNION ALL SELECT 'dispute_without_flag', count(*) FILTER (NOT dispute_flag) FROM fx_refunds JOIN fx_orders USING (order_id)
+SELECT 'refund_without_flag' AS check_name, count(*) FILTER (NOT refund_flag) AS violations FROM fx_refunds JOIN fx_orders USING (order_id)
+UNION ALL SELECT 'dispute_without_flag', count(*) FILTER (NOT dispute_flag) FROM fx_disputes JOIN fx_orders USING (order_id)
 UNION ALL SELECT 'rto_flag_mismatch', count(*) FILTER ((delivery_status = 'failed') <> rto_flag) FROM fx_orders
 UNION ALL SELECT 'undelivered_with_time', count(*) FILTER (delivery_status IN ('pending', 'failed') AND delivery_timestamp IS NOT NULL) FROM fx_orders""")
 def q7(d):
-    """The two event tables are passed swapped, so that both flag checks find rows."""
-    return Q.flag_conflicts(d.orders, d.disputes, d.refunds)
+    return Q.flag_conflicts(d.orders, d.refunds, d.disputes)
 
 
 @query("q8_time_conflicts", """

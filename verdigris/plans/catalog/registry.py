@@ -31,9 +31,11 @@ def staged(spark: SparkSession, folder: str) -> Data:
     state = []
     for name in SOURCES:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-        status = path.getFileSystem(conf).getFileStatus(path)
-        state.append((status.getModificationTime(), status.getLen()))
-    key = (spark.sparkContext.applicationId, folder, tuple(state))
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            state.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    key = (spark.sparkContext.applicationId, folder, tuple(sorted(state)))
     if key not in _STAGED:
         _STAGED.clear()
         _STAGED[key] = Data(spark, folder)

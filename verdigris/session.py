@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: dict[str, str] = {}
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """UTC session clock, adaptive execution with skew splitting."""
@@ -19,19 +16,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOT:
-        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="verdigris-")
-    return _LOCAL_ROOT[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -47,4 +38,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and no later step reads."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            df._stored_at = None

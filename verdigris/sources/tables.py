@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,25 +11,26 @@ from pyspark.sql import types as T
 from verdigris.functions.exprs import to_timestamp_or_null
 
 
-def _timestamps_as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
-            for f in schema
-        ]
-    )
-
-
 def coerce_timestamps(df: DataFrame, columns: list[str]) -> DataFrame:
     """Unreadable timestamps become null, in one projection."""
     return df.withColumns({c: to_timestamp_or_null(c) for c in columns if c in df.columns})
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with a declared schema; bad timestamps turn into nulls."""
-    raw = spark.read.schema(_timestamps_as_text(schema)).csv(path, header=True)
-    stamps = [f.name for f in schema if isinstance(f.dataType, T.TimestampType)]
-    return coerce_timestamps(raw, stamps)
+    """Header CSV with a declared schema, columns found by name; unreadable values turn into nulls.
+
+    Columns may come in any order and more may be there; a missing one is an error.
+    """
+    raw = spark.read.csv(path, header=True)
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return raw.select(
+        *[
+            (to_timestamp_or_null(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
+    )
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
@@ -41,11 +43,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """The table, or an empty frame of the same schema when it is absent or not readable."""
+    """The table, or an empty frame of the same schema when it is absent or not readable.
+
+    Parquet and ORC footers are read when opening, so a corrupt file shows here and not later.
+    """
     try:
         if path_exists(spark, path):
+            if fmt in ("parquet", "orc"):
+                spark.read.option("mergeSchema", True).format(fmt).load(path)
             return read_table(spark, path, schema, fmt)
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         pass
     return spark.createDataFrame([], schema)
 
@@ -102,9 +109,10 @@ def append_widening(existing: DataFrame, new_rows: DataFrame) -> DataFrame:
     return existing.unionByName(new_rows, allowMissingColumns=True)
 
 
-def truncate_table(df: DataFrame) -> DataFrame:
-    """Same schema, no rows."""
-    return df.limit(0)
+def truncate_table(spark: SparkSession, path: str) -> None:
+    """Remove the rows of a stored table and keep its schema."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def rows_for_account(df: DataFrame, account_id) -> DataFrame:
