@@ -13,7 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BLOCK = 1 << 18
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=4)
 def _powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         out = np.empty(room, np.uint64)
@@ -50,7 +51,8 @@ def _powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_for(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(12, int(n).bit_length()))
+    """Tables of one size for all usual blocks; a longer block (one huge word) makes its own."""
+    return _powers(base, 2 * BLOCK) if n <= 2 * BLOCK else _powers.__wrapped__(base, n)
 
 
 def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -99,23 +101,33 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        n = len(self.data)
-        power, inverse = _powers_for(_BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[self.data] * power[:n], out=total[1:])
-        raw = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(np.uint64) * np.uint64(_WORD_BASE))
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):  # blocks of whole words keep the running sums short
+            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + BLOCK)))
+            lo, hi = self.starts[at], self.ends[to - 1]
+            n = int(hi - lo)
+            power, inverse = _powers_for(_BASE, n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_VALUE[self.data[lo:hi]] * power[:n], out=total[1:])
+            a, b = self.starts[at:to] - lo, self.ends[at:to] - lo
+            out[at:to] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(_WORD_BASE))
+            at = to
+        return out
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` consecutive words; the last ``size - 1`` places are absent."""
-    n = len(hashes)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers_for(_WORD_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * power[:n], out=total[1:])
-    return mix((total[size:] - total[: n + 1 - size]) * inverse[: n + 1 - size])
+    n = max(0, len(hashes) - size + 1)
+    out = np.empty(n, np.uint64)
+    power, inverse = _powers_for(_WORD_BASE, BLOCK + size + 1)
+    for at in range(0, n, BLOCK):
+        part = hashes[at : at + BLOCK + size - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=total[1:])
+        many = len(part) - size + 1
+        out[at : at + many] = mix((total[size:] - total[:many]) * inverse[:many])
+    return out
 
 
 def word_counts(arr: pa.Array) -> np.ndarray:
