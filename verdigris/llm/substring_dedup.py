@@ -25,12 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.arrow import arrow_map, field
+from verdigris.llm.arrow import arrow_map, field, fresh
 from verdigris.llm.words import Words, mix, runs, slices
 from verdigris.session import materialize
 
-ANCHOR = 6
-SLICE = 12 << 20
+ANCHOR = 5
+SLICE = 3 << 20
+GATHER = 1 << 20
 
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +72,16 @@ def _runs_over_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[
         yield rest
 
 
+def _by_document(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per document with its places, from rows of (document, place)."""
+    rid, start = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
+    by = np.lexsort((start, rid))
+    rid, start = rid[by], start[by]
+    first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rid)).astype(np.int32)), pa.array(start))
+    return pa.RecordBatch.from_arrays([pa.array(rid[first]), lists], ["rid", "starts"])
+
+
 def _repeats_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted keys: not the first of its run; in a run of two or more."""
     later = np.zeros(len(keys), bool)
@@ -92,7 +103,7 @@ def repeated_words(
     id_field = rows.schema["id"]
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             out = [packer.compress(t.encode()) if t is not None else None for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["rid", "id", "packed"])
@@ -120,15 +131,21 @@ def repeated_words(
                 )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
         for t in _runs_over_batches(batches, "key"):
             _, many = _repeats_equal(t.column("key").to_numpy())
-            keep = pa.array(many | t.column("known").to_numpy(zero_copy_only=False))
-            for b in t.select(["rid", "pos"]).filter(keep).combine_chunks().to_batches():
-                yield b
+            many |= t.column("known").to_numpy(zero_copy_only=False)
+            kept.append((t.column("rid").to_numpy()[many], t.column("pos").to_numpy()[many]))
+            held += int(many.sum())
+            if held >= GATHER:
+                yield _by_document(kept)
+                kept, held = [], 0
+        if held:
+            yield _by_document(kept)
 
     found = arrow_map(rows.select("rid", "text"), anchors, [field("key", "bigint"), field("rid", "bigint"), field("pos", "int"), field("known", "boolean")])
-    alive = arrow_map(found.repartition("key").sortWithinPartitions("key"), shared, [field("rid", "bigint"), field("pos", "int")])
-    per_doc = alive.groupBy("rid").agg(F.collect_list("pos").alias("anchors"))  # at most the document's own
+    alive = arrow_map(found.repartition("key").sortWithinPartitions("key"), shared, [field("rid", "bigint"), field("starts", "array<int>")])
+    per_doc = alive.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("anchors"))  # at most the document's own
     packed = arrow_map(rows, squeeze, [rows.schema["rid"], id_field, field("packed", "binary")])
     candidates = materialize(packed.join(per_doc, "rid"), "candidates")
 
@@ -161,6 +178,7 @@ def repeated_words(
                 )
 
     def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
         for t in _runs_over_batches(batches, "key"):
             # Known repeats carry keys of their own; if one meets a digest it must not hide a first.
             known = t.column("known").to_numpy(zero_copy_only=False)
@@ -168,15 +186,20 @@ def repeated_words(
             later = known.copy()
             asked = np.flatnonzero(~known)
             later[asked] = _repeats_equal(keys[asked])[0]
-            for b in t.select(["rid", "start"]).filter(pa.array(later)).combine_chunks().to_batches():
-                yield b
+            kept.append((t.column("rid").to_numpy()[later], t.column("start").to_numpy()[later]))
+            held += int(later.sum())
+            if held >= GATHER:
+                yield _by_document(kept)
+                kept, held = [], 0
+        if held:
+            yield _by_document(kept)
 
     sent = arrow_map(
         candidates, suffixes, [field("key", "bigint"), id_field, field("rid", "bigint"), field("start", "int"), field("known", "boolean")]
     )
     grouped = sent.repartition("key").sortWithinPartitions("key", F.col("id").asc_nulls_last(), "rid", "start")
-    repeats = arrow_map(grouped, later_ones, [field("rid", "bigint"), field("start", "int")])
-    lists = materialize(repeats.groupBy("rid").agg(F.collect_list("start").alias("starts")), "repeats")  # at most the document's windows
+    repeats = arrow_map(grouped, later_ones, [field("rid", "bigint"), field("starts", "array<int>")])
+    lists = materialize(repeats.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")  # at most the document's windows
     losing = candidates.select("rid", "packed").join(lists, "rid")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +257,11 @@ def repeat_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in all their columns; texts that lose words keep the others, joined by one space."""
     _, losing = repeated_words(docs, window, id_col, text_col)
+    row, new_text = fresh("_rid", docs.columns), fresh("_text", docs.columns)
 
     def make(rid, kept):
-        return pa.RecordBatch.from_arrays([rid, pa.array([b" ".join(w).decode() for w, _ in kept], pa.string())], ["_rid", "_text"])
+        return pa.RecordBatch.from_arrays([rid, pa.array([b" ".join(w).decode() for w, _ in kept], pa.string())], [row, new_text])
 
-    changed = _after(losing, window, make, [field("_rid", "bigint"), field("_text", "string")])
-    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_rid")).join(changed, "_rid", "left")
-    return rows.select(*[F.coalesce("_text", text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    changed = _after(losing, window, make, [field(row, "bigint"), field(new_text, "string")])
+    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row)).join(changed, row, "left")
+    return rows.select(*[F.coalesce(new_text, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
