@@ -11,7 +11,7 @@ from verdigris.llm.embedding_dups import near_duplicates
 from verdigris.llm.jaccard_join import similar_components
 from verdigris.llm.mixing import taken_words
 from verdigris.llm.packing import pack
-from verdigris.llm.sharding import shard_rows
+from verdigris.llm.sharding import KEY, ROUND_PAIRS, STEPS, shard_rows
 from verdigris.llm.substring_dedup import repeat_report
 from verdigris.llm.token_counts import token_counts
 from verdigris.llm.topk import top_k
@@ -63,27 +63,120 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
-@query("op3_shards")
+# -- SQL of the checks -----------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components_sql(edges: str) -> str:
+    """Recursive reach over ``edges`` (a, b), given in both directions."""
+    return f"reach(a, b) AS (SELECT a, b FROM ({edges}) UNION SELECT r.a, e.b FROM reach r JOIN ({edges}) e ON r.b = e.a)"
+
+
+def _crc_sql() -> str:
+    """CRC-32 of a text's bytes, four bits at a time, low half of a byte first."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    halves = r"string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), '')"
+    numbers = f"list_transform(list_filter({halves}, lambda c: c <> ''), lambda c: (strpos('0123456789ABCDEF', c) - 1)::BIGINT)"
+    step = f"lambda a, x: xor(a >> 4, ({table}::BIGINT[])[(xor(a, x) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), {step}), 4294967295::BIGINT)"
+
+
+def _shards_sql() -> str:
+    moved = "SELECT number, n, a, b, turn, p // b AS l, p % b AS r FROM {}"
+    steps = ""
+    for k in range(ROUND_PAIRS):
+        key = (KEY * (2 * k + 1) + k * 7919) % 1_000_003
+        for side, other, size, extra in (("l", "r", "a", 0), ("r", "l", "b", 1_000_003)):
+            mixed = f"({other} + {key + extra})"
+            for factor, offset, modulus in STEPS:
+                mixed = f"(({mixed} * {factor} + {offset}) % {modulus})"
+            kept = {"l": f"({side} + {mixed}) % {size} AS l, r", "r": f"l, ({side} + {mixed}) % {size} AS r"}[side]
+            steps = f"SELECT number, n, a, b, turn, {kept} FROM ({steps or moved})"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {_crc_sql()} AS text_crc32 FROM documents),
+  o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS number, count(*) OVER () AS n FROM d),
+  s AS (SELECT number, n, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM o),
+  start AS (SELECT number, n, a, (n + a - 1) // a AS b, 0 AS turn, number AS p FROM s),
+  walk AS (SELECT * FROM start UNION ALL
+    SELECT number, n, a, b, turn + 1, l * b + r FROM ({steps.format("(SELECT * FROM walk WHERE turn = 0 OR p >= n)")})),
+  done AS (SELECT number, arg_max(p, turn) AS p FROM walk GROUP BY number)
+  SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 8)::INT AS shard, p // 8 AS slot, NULL::INT AS grown_shard FROM o JOIN done USING (number)"""
+
+
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+  e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+  {_components_sql("SELECT a, b FROM e")}
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+  FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) m ON m.a = d.doc_id"""
+
+_MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+  c AS (SELECT source, source_size, [5.0::DOUBLE, 2.0, 1.0][(nth - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+  t AS (SELECT *, sum(w) OVER () AS all_w, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
+        sum(w) OVER o AS w_upto, sum(cap) OVER o AS cap_upto FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+  h AS (SELECT *, (budget - cap_upto + cap) / (all_w - w_upto + w) AS here FROM t),
+  l AS (SELECT arg_min(here, w_upto) AS level FROM h WHERE cap > here * w),
+  g AS (SELECT source, source_size, CASE WHEN cap <= here * w THEN cap ELSE level * w END AS target FROM h, l),
+  p AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS want,
+        sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  SELECT doc_id, size, source_size, target,
+    (greatest(0, least(upto, want) - (upto - size)) + greatest(0, least(upto + source_size, want) - (upto - size + source_size)))::BIGINT AS taken FROM p"""
+
+_REPEATS_SQL = f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
+  v AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+  r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM v) WHERE nth > 1),
+  gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM r),
+  word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+  FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)"""
+
+_VECTORS_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+  {_components_sql("SELECT a, b FROM e")}
+  SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.b, vec_id)) AS kept
+  FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) n ON n.a = vec_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) m ON m.a = vec_id"""
+
+_URL_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+  m AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+        FROM h JOIN r ON (h.host = r.host OR suffix(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY 1)
+  SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)"""
+
+
+@query("op3_shards", _shards_sql())
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"))
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", _JACCARD_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(table(spark, folder, "documents"), size=3, percent=90).drop("rid")
 
 
-@query("op5_mixing")
+@query("op5_mixing", _MIXING_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(table(spark, folder, "documents"))
 
 
-@query("op8_url_filter")
+@query("op8_url_filter", _URL_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), PAGE_RULES)
 
 
-@query("op7_embedding_dups")
+@query("op7_embedding_dups", _VECTORS_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
 
@@ -107,6 +200,6 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", _REPEATS_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_report(table(spark, folder, "documents"))
