@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigris.llm.jaccard_join import one_of_each
 from verdigris.llm.mixing import mixed_documents
@@ -15,6 +16,11 @@ from verdigris.llm.toxicity import without_toxic
 from verdigris.session import materialize
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """The length column follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier trained on this folder's labels does not reject."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 20-word passages that start earlier in the corpus."""
-    return without_repeats(docs)
+    return _measured(without_repeats(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source near its target share: documents come twice, once, in part or not at all."""
-    return mixed_documents(docs)
+    return _measured(mixed_documents(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
