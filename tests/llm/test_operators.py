@@ -139,10 +139,12 @@ def test_swap_penalty_shrinks_the_change():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (400, 3)).astype(float)
     y = ((x[:, 0] + 0.6 * x[:, 1] + rng.normal(0, 0.3, 400)) > 0.8).astype(float)
-    change = np.tile([[0.0, 1.0, -1.0]], (50, 1))
-    free, _ = toxicity.fit_linear(x, y, np.zeros((0, 3)))
-    held, _ = toxicity.fit_linear(x, y, change)
-    assert abs(change[0] @ held) < 0.3 * abs(change[0] @ free)
+    rows = toxicity.Rows.of([np.flatnonzero(r).tolist() for r in x], 3)
+    change = toxicity.Rows.of([[1]] * 50, 3).plus(toxicity.Rows.of([[2]] * 50, 3, -1.0))
+    assert np.allclose(rows.times(np.array([1.0, 2.0, 3.0])), x @ [1, 2, 3])
+    free, _ = toxicity.fit_linear(rows, y, toxicity.Rows.of([], 3))
+    held, _ = toxicity.fit_linear(rows, y, change)
+    assert abs(held[1] - held[2]) < 0.3 * abs(free[1] - free[2])
 
 
 def test_toxicity_without_labels(empty, spark):

@@ -42,7 +42,7 @@ IDENTITY_TERMS = [
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000  # bound on the labelled rows a fit uses
 FEATURES = 1_024
 RUNS = (4, 6)
-SWAP_PENALTY, DECAY, STEPS = 4.0, 1e-4, 400
+SWAP_PENALTY, DECAY, STEPS = 4.0, 1e-5, 1_000
 
 
 def swapped(text: str) -> str | None:
@@ -109,16 +109,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Rows:
+    """A sparse matrix: value ``value[k]`` at row ``row[k]``, feature ``col[k]``."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(lists: list[list[int]], features: int, sign: float = 1.0) -> Rows:
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        col = np.array([c for x in lists for c in x], np.int64)
+        return Rows(row, col, np.full(len(col), sign), (len(lists), features))
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("row", "col", "value")), self.shape)
+
+    def scaled(self, by: np.ndarray) -> Rows:
+        return Rows(self.row, self.col, self.value * by[self.col], self.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * e[self.row], self.shape[1])
+
+
+def fit_linear(x: Rows, y: np.ndarray, change: Rows, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
     """Logistic weights and intercept; ``change`` holds feature differences of swapped pairs."""
     w, b = np.zeros(x.shape[1]), 0.0
     m, v, rate = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0.05
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -40, 40)))
         error = (p - y) / len(y)
-        g = np.append(x.T @ error + DECAY * w, error.sum())
-        if len(change):
-            g[:-1] += penalty * change.T @ (change @ w) / len(change)
+        g = np.append(x.transposed_times(error) + DECAY * w, error.sum())
+        if change.shape[0]:
+            g[:-1] += penalty * change.transposed_times(change.times(w)) / change.shape[0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -165,7 +193,13 @@ def fit(
     share = F.abs((F.col("t") + 0.5) / F.lit(toxic + 1.0) - (F.col("c") + 0.5) / F.lit(clean + 1.0))
     spread = F.sqrt((F.col("t") + F.col("c") + 1) / F.lit(toxic + clean + 1.0))
     best = seen.filter(F.col("t") + F.col("c") >= 3).orderBy(F.desc(share / spread), "f").limit(FEATURES)
-    digests = np.sort(np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64))
+    picked = best.select("f", "t", "c").collect()
+    digests = np.array([r["f"] for r in picked], np.int64).view(np.uint64)
+    by = np.argsort(digests)
+    held_t, held_c = (np.array([r[k] for r in picked], float)[by] for k in ("t", "c"))
+    digests = digests[by]
+    # A feature enters by its log ratio, so one that only toxic texts hold counts even alone.
+    ratio = np.log((held_t + 0.5) / (toxic + 1)) - np.log((held_c + 0.5) / (clean + 1))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places(texts: list[str | None]) -> pa.Array:
@@ -182,16 +216,13 @@ def fit(
 
     kept = arrow_map(rows, project, [field("y", "int"), field("x", "array<int>"), field("swap", "array<int>"), field("named", "boolean")]).collect()
 
-    def dense(lists: list) -> np.ndarray:
-        out = np.zeros((len(lists), len(digests)), np.float32)
-        for row, at in enumerate(lists):
-            out[row, at] = 1
-        return out
-
     kept.sort(key=lambda r: (r["y"], r["x"]))  # sums do not depend on the order rows arrive in
-    x, target = dense([r["x"] for r in kept]), np.array([r["y"] for r in kept], np.float64)
+    n = len(digests)
+    x, target = Rows.of([r["x"] for r in kept], n).scaled(ratio), np.array([r["y"] for r in kept], np.float64)
     named = [r for r in kept if r["named"]]
-    weights, intercept = fit_linear(x, target, dense([r["x"] for r in named]) - dense([r["swap"] for r in named]))
+    change = Rows.of([r["x"] for r in named], n).plus(Rows.of([r["swap"] for r in named], n, -1.0)).scaled(ratio)
+    weights, intercept = fit_linear(x, target, change)
+    weights = weights * ratio
     return Model(digests, weights, intercept)
 
 
