@@ -4,8 +4,9 @@ Sets A, B are linked if |A & B| / |A | B| >= percent / 100, that is if they diff
 D = (|A| + |B|) * (100 - percent) / (100 + percent) shingles.
 
 Index skipping: a set lies in the order of its shingle digests and is cut by position (equal
-ranges of the digest) into D + 1 blocks. Linked sets differ in at most D blocks, so they agree
-in one; the index lists whole blocks by digest, and every list whose block differs is skipped.
+ranges of the digest) into more than D blocks. Linked sets differ in at most D blocks, so they
+agree in one that holds something (a set with too few such blocks lists its empty ones too);
+the index lists whole blocks by digest, and every list whose block differs is skipped.
 Size classes fix the number of blocks: a pair lies in one class or in two neighboring ones,
 which share a second set of block lists.
 
@@ -81,9 +82,9 @@ def block_keys(grams: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
     keys, sets = [], []
 
     def emit(which: np.ndarray, most: np.ndarray, tag: np.ndarray) -> None:
-        blocks = most + 1
+        blocks = most + most // 6 + 3
         keep = (most > 0) & (size[which] > 0)  # with no difference allowed only equal sets link
-        which, blocks, tag = which[keep], blocks[keep], tag[keep]
+        which, blocks, tag, most = which[keep], blocks[keep], tag[keep], most[keep]
         if not len(which):
             return
         n = size[which]
@@ -91,14 +92,17 @@ def block_keys(grams: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
         g = grams[at]
         first = np.cumsum(blocks) - blocks
         place = np.repeat(first, n) + (((g >> np.uint64(32)) * np.repeat(blocks, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        digest = np.zeros(int(blocks.sum()), np.uint64)
-        if len(place):  # places rise, as each set is sorted
-            begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            digest[place[begins]] = np.add.reduceat(mix(g + np.uint64(1)), begins)
+        digest, filled = np.zeros(int(blocks.sum()), np.uint64), np.zeros(int(blocks.sum()), bool)
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))  # places rise, as each set is sorted
+        digest[place[begins]] = np.add.reduceat(mix(g + np.uint64(1)), begins)
+        filled[place[begins]] = True
+        # With more filled blocks than allowed differences, a filled one is untouched.
+        some = np.bincount(np.repeat(np.arange(len(which)), blocks), filled, len(which)) > most
+        listed = filled | ~np.repeat(some, blocks)
         nth = np.arange(len(digest)) - np.repeat(first, blocks)
         label = np.repeat(tag, blocks).astype(np.uint64) * np.uint64(1 << 32) + nth.astype(np.uint64)
-        keys.append(mix(digest + mix(label + np.uint64(1))))
-        sets.append(np.repeat(which, blocks))
+        keys.append(mix(digest + mix(label + np.uint64(1)))[listed])
+        sets.append(np.repeat(which, blocks)[listed])
 
     num, den = 100 - percent, 100 + percent
     everyone = np.arange(len(size))
@@ -163,32 +167,61 @@ def similar_components(
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized(texts: pa.Array) -> Iterator[tuple]:
+        for at, part in slices(texts):
+            grams, bounds = shingle_sets(Words(part, lower=True), size)
+            n = np.diff(bounds)
+            total = np.zeros(len(grams) + 1, np.uint64)
+            np.cumsum(mix(grams + np.uint64(7)), out=total[1:])
+            yield at, grams, bounds, n, mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, part in slices(b.column(2)):
-                grams, bounds = shingle_sets(Words(part, lower=True), size)
-                n = np.diff(bounds)
-                total = np.zeros(len(grams) + 1, np.uint64)
-                np.cumsum(mix(grams + np.uint64(7)), out=total[1:])
-                digest = mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
-                keys, sets = block_keys(grams, bounds, percent)
-                by = np.argsort(sets, kind="stable")
-                offsets = np.searchsorted(sets[by], np.arange(len(n) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[by].view(np.int64)))
+            for at, _, _, n, digest in sized(b.column(2)):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(digest, mask=n == 0), lists],
-                    ["rid", "id", "n", "set_id", "keys"],
+                    [b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(digest, mask=n == 0)],
+                    ["rid", "id", "n", "set_id"],
                 )
 
-    schema = [*rows.schema.fields[:2], field("n", "bigint"), field("set_id", "bigint"), field("keys", "array<bigint>")]
-    indexed = materialize(arrow_map(rows, index, schema), "set-index")
+    indexed = materialize(arrow_map(rows, name, [*rows.schema.fields[:2], field("n", "bigint"), field("set_id", "bigint")]), "set-names")
     sets = materialize(
         indexed.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("first_id"), F.min("rid").alias("rid")), "sets"
     )
 
-    listed = indexed.select("set_id", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).filter("pivot <> other").select("key", "pivot")
-    members = materialize(listed.join(shared, "key").select("pivot", "set_id").distinct(), "members")
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, grams, bounds, n, digest in sized(b.column(0)):
+                once = np.zeros(len(n), bool)
+                once[np.unique(digest, return_index=True)[1]] = True  # equal sets of a slice list their blocks once
+                keys, owner = block_keys(grams, bounds, percent)
+                listed = once[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[listed].view(np.int64)), pa.array(digest[owner[listed]])], ["key", "set_id"])
+
+    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First set and member of every list with two sets or more; lists of any length stream through."""
+        last_key, pivot, last_set = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, sets_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last_key is None or key[0] != last_key
+            again = np.zeros(len(key), bool)
+            again[1:] = ~new[1:] & (sets_[1:] == sets_[:-1])
+            again[0] = not new[0] and sets_[0] == last_set
+            starts = np.flatnonzero(new)
+            which = np.cumsum(new) - 1
+            first = np.where(which >= 0, sets_[starts[which.clip(0)]] if len(starts) else pivot, pivot if pivot is not None else 0).astype(np.int64)
+            member = ~new & ~again & (sets_ != first)
+            last_key, last_set, pivot = key[-1], sets_[-1], first[-1]
+            if member.any():
+                pair = np.unique(np.stack([np.concatenate([first[member], first[member]]), np.concatenate([sets_[member], first[member]])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["pivot", "set_id"])
+
+    listed = arrow_map(rows.select("text"), blocks, [field("key", "bigint"), field("set_id", "bigint")])
+    lists = listed.repartition("key").sortWithinPartitions("key", "set_id")
+    members = materialize(arrow_map(lists, pivots, [field("pivot", "bigint"), field("set_id", "bigint")]).distinct(), "members")
 
     grid = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("g"))
     placed = members.join(grid, "pivot").withColumn("s", F.pmod(F.xxhash64("set_id"), F.col("g")).cast("int"))
