@@ -262,10 +262,14 @@ PRELUDE["a_vague"] = f"SELECT DISTINCT p_name, {q_tokens('p_name')} AS toks FROM
 
 
 @query("a13b_token_fallback", f"""
-WITH post AS MATERIALIZED (SELECT address_id, {q_tokens('canonical_address')} AS toks FROM a_rec),
-h AS (SELECT p_name, v.toks, address_id, len(list_intersect(v.toks, post.toks)) AS hits FROM a_vague v JOIN post ON len(list_intersect(v.toks, post.toks)) > 0)
-SELECT p_name AS query_id, address_id, CASE WHEN hits = len(toks) THEN 'token_intersection' ELSE 'token_union' END AS strategy FROM h
-WHERE hits = len(toks) OR p_name NOT IN (SELECT p_name FROM h WHERE hits = len(toks))""")
+WITH asked AS MATERIALIZED (SELECT DISTINCT p_name, token FROM (SELECT p_name, unnest(toks) AS token FROM a_vague)),
+post AS MATERIALIZED (SELECT DISTINCT address_id, token FROM (SELECT address_id, unnest({q_tokens('canonical_address')}) AS token FROM a_rec) SEMI JOIN asked USING (token)),
+freq AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
+rarest AS MATERIALIZED (SELECT p_name, token FROM (SELECT p_name, token, row_number() OVER (PARTITION BY p_name ORDER BY coalesce(df, 0), token) AS r FROM asked LEFT JOIN freq USING (token)) WHERE r <= 5),
+wanted AS (SELECT p_name, count(*) AS n FROM rarest GROUP BY 1),
+h AS MATERIALIZED (SELECT p_name, address_id, count(*) AS hits FROM rarest JOIN post USING (token) GROUP BY 1, 2)
+SELECT p_name AS query_id, address_id, CASE WHEN hits = n THEN 'token_intersection' ELSE 'token_union' END AS strategy FROM h JOIN wanted USING (p_name)
+WHERE hits = n OR p_name NOT IN (SELECT p_name FROM h JOIN wanted USING (p_name) WHERE hits = n)""")
 def a13b(d):
     """Part names as addresses that name no place: only their tokens can find candidates."""
     vague = d.raw("part").select(F.col("p_name").alias("query_id"), "p_name").distinct()

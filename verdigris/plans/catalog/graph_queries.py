@@ -227,7 +227,9 @@ def g9(d):
 
 @query("g10_louvain")
 def g10(d):
-    return L.louvain(d.accounts, edges(d))
+    if not hasattr(d, "_louvain"):
+        d._louvain = materialize(L.louvain(d.accounts, edges(d)), "communities")
+    return d._louvain
 
 
 @query("g11_modularity", """
