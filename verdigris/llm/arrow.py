@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
+pa.set_memory_pool(pa.system_memory_pool())  # returns freed batches at once, so idle workers stay small
 
 
 def ship(spark: SparkSession) -> None:

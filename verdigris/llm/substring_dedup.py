@@ -31,7 +31,7 @@ from verdigris.session import materialize
 
 ANCHOR = 5
 SLICE = 3 << 20
-GATHER = 1 << 20
+GATHER, LIST = 1 << 19, 8
 
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +73,13 @@ def _runs_over_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[
 
 
 def _by_document(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One row per document with its places, from rows of (document, place)."""
+    """Rows of a document and up to LIST of its places, from rows of (document, place)."""
     rid, start = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
     by = np.lexsort((start, rid))
     rid, start = rid[by], start[by]
-    first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+    new = np.concatenate([[True], rid[1:] != rid[:-1]])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero(new | ((np.arange(len(rid)) - begin) % LIST == 0))
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rid)).astype(np.int32)), pa.array(start))
     return pa.RecordBatch.from_arrays([pa.array(rid[first]), lists], ["rid", "starts"])
 
