@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     # Batches of whole documents lie outside the JVM's heap, so their bytes are bounded too.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     root = pathlib.Path(__file__).resolve().parents[1]
     path = pathlib.Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
