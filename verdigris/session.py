@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_ROOTS: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """UTC session clock, adaptive execution with skew splitting."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -22,7 +27,12 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored/{spark.sparkContext.applicationId}"
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored/{spark.sparkContext.applicationId}"
+    if root not in _OWN_ROOTS:
+        _OWN_ROOTS.add(root)
+        # Nobody asked for these files to stay; a local session takes them along when it ends.
+        atexit.register(shutil.rmtree, root.removeprefix("file://").removeprefix("file:"), True)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
