@@ -147,6 +147,24 @@ def test_swap_penalty_shrinks_the_change():
     assert abs(held[1] - held[2]) < 0.3 * abs(free[1] - free[2])
 
 
+def test_bounded_classes_keep_the_rate_of_the_labels(spark, tmp_path):
+    """Keeping few clean rows must not lift the scores."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for k in range(2_000):
+        rude = k % 5 == 0
+        toxic = rude and k % 3 == 0  # a third of the texts with the word
+        rows.append((k, " ".join(rng.choice(["red", "green", "blue"]) for _ in range(8)) + (" vileone" if rude else "")))
+        labels.append((k, int(toxic)))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    d, known = spark.read.parquet(path), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for most in (8_000, 300):
+        got = {r.doc_id: r for r in toxicity.toxicity_scores(d, toxicity.fit(d, known, max_clean=most)).collect()}
+        assert abs(np.mean([got[k].score for k in range(0, 2_000, 5)]) - 1 / 3) < 0.08
+        assert not any(r.predicted for r in got.values())
+
+
 def test_toxicity_without_labels(empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(empty, none)

@@ -153,6 +153,12 @@ def fit_linear(x: Rows, y: np.ndarray, change: Rows, penalty: float = SWAP_PENAL
     return w, float(b)
 
 
+def kept_log_odds(toxic: int, clean: int, max_toxic: int, max_clean: int) -> float:
+    """What keeping at most so many rows of each class adds to the log-odds of toxic."""
+    kept = [min(1.0, most / n) if n else 1.0 for n, most in ((toxic, max_toxic), (clean, max_clean))]
+    return float(np.log(kept[0] / kept[1]))
+
+
 def in_test_fold(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
@@ -165,11 +171,14 @@ def fit(
 
     The rows are those with the smallest digests of their ids, so a rerun takes the same ones;
     their number bounds all that reaches the driver. Rows without a label are left out; an id
-    with several labels counts as toxic if one says so. With one class or none the model is a
-    constant.
+    with several labels counts as toxic if one says so. Where the bounds keep unequal shares of
+    the classes, the intercept is moved back, so that scores are those of the classes as the
+    labels have them. With one class or none the model is a constant.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     y = y.filter(~in_test_fold(id_col)).withColumn("turn", F.md5(F.col(id_col).cast("string")))
+    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shift = kept_log_odds(counts.get(1, 0), counts.get(0, 0), max_toxic, max_clean)
     some = [y.filter(F.col("y") == k).orderBy("turn", id_col).limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
     chosen = some[0].unionByName(some[1]).select(F.col(id_col).alias("id"), "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
@@ -223,7 +232,7 @@ def fit(
     change = Rows.of([r["x"] for r in named], n).plus(Rows.of([r["swap"] for r in named], n, -1.0)).scaled(ratio)
     weights, intercept = fit_linear(x, target, change)
     weights = weights * ratio
-    return Model(digests, weights, intercept)
+    return Model(digests, weights, intercept - shift)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
