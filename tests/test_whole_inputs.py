@@ -50,3 +50,30 @@ def test_every_table_domain_and_key_is_checked(spark):
 def test_input_report_takes_every_numeric_column(spark, data):
     names = set(numeric_columns(W.whole_matrix(data), ("account_id", "community_id")))
     assert {r.feature for r in QUERIES["p3_input_report_all"](spark, FOLDER).collect()} == names
+
+
+def test_iterated_metrics_are_converged(spark, data):
+    ids = [r.account_id for r in data.accounts.collect()]
+    at = {a: k for k, a in enumerate(ids)}
+    n = len(ids)
+    link = np.zeros((n, n))
+    for r in edges(data).collect():
+        a, b = at[r.account_id_1], at[r.account_id_2]
+        link[a, b] = link[b, a] = r.weight
+    out = link.sum(1)
+    rank = np.full(n, 1 / n)
+    for _ in range(2_000):
+        rank = 0.15 / n + 0.85 * (rank[out == 0].sum() / n + link @ np.divide(rank, out, out=np.zeros(n), where=out > 0))
+    centre = np.full(n, 1 / n)
+    for _ in range(20_000):
+        centre = centre + link @ centre
+        centre /= np.sqrt((centre**2).sum())
+    rows = {r.account_id: r for r in QUERIES["h5_graph_matrix_all"](spark, FOLDER).collect()}
+    got_rank, got_centre = (np.array([rows[a][c] for a in ids]) for c in W.ITERATIVE)
+    assert np.abs(got_rank - rank).sum() < n * 1e-5 and np.abs(got_centre - centre).sum() < n * 1e-3
+    metrics = QUERIES["g13_node_metrics_all"](spark, FOLDER)
+    assert set(W.ITERATIVE) <= set(metrics.columns) and metrics.count() == n
+    for name, column, want in (("g4_pagerank", "pagerank", rank), ("g5_eigenvector", "eigenvector_centrality", centre)):
+        fixed = {r.account_id: r[column] for r in QUERIES[name](spark, FOLDER).collect()}
+        whole = np.array([rows[a][column] for a in ids])
+        assert np.abs(whole - want).sum() < np.abs(np.array([fixed[a] for a in ids]) - want).sum()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.exprs import nonblank
 from verdigris.operators import evaluation as M
+from verdigris.operators import graph_metrics as G
 from verdigris.operators import quality as Q
 from verdigris.operators import splits as P
 from verdigris.operators.cleansing import numeric_columns
@@ -33,6 +34,27 @@ def _ties_kept(df):
     return df.withColumns({c: F.round(c, 9) for c in reals})
 
 
+@query("g13_node_metrics_all")
+def g13_all(d):
+    """All node metrics, the iterated ones converged."""
+    return G.node_metrics(d.accounts, edges(d))
+
+
+@query("h5_graph_matrix_all")
+def h5_all(d):
+    return whole_matrix(d)
+
+
+@query("g4_pagerank_converged")
+def g4_converged(d):
+    return G.pagerank(d.accounts, edges(d))
+
+
+@query("g5_eigenvector_converged")
+def g5_converged(d):
+    return G.eigenvector_centrality(d.accounts, edges(d))
+
+
 def _whole_audit(d):
     m = whole_matrix(d)
     return M.feature_audit(_ties_kept(m), d.truth, numeric_columns(m))
