@@ -300,6 +300,18 @@ def test_mixing(docs, empty):
     assert taken_words(empty).count() == 0
 
 
+def test_mixed_documents_come_in_slot_order(docs):
+    parts, known = mix(docs, block=64)
+    ids = {r.rid: r.id for r in known.collect()}
+    first = {}
+    for r in parts.collect():
+        key = (r.rid, r.epoch)
+        first[key] = min(first.get(key, (r.slot, r.at)), (r.slot, r.at))
+    assert len(set(first.values())) == len(first)
+    want = [ids[rid] for rid, _ in sorted(first, key=first.get)]
+    assert [r.doc_id for r in mixed_documents(docs, block=64).collect()] == want
+
+
 def test_mix_is_spread_and_becomes_documents(docs):
     parts, known = mix(docs, block=64)
     slots = parts.join(known, "rid").groupBy("source").agg(F.collect_set("slot").alias("slots")).collect()

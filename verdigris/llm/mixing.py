@@ -93,8 +93,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The parts of the mix and the documents they come from.
 
-    Parts: (rid, epoch, slot, words): how many words of which pass over the document a slot
-    takes. Documents: (rid, id, source, size, source_size, target), one row per input row.
+    Parts: (rid, epoch, slot, at, words): how many words of which pass over the document a slot
+    takes, and the place of the first one in the slot. Documents: (rid, id, source, size, source_size, target), one row per input row.
     A source's blocks give floor(target) words; the last one is cut there. Documents are
     shuffled by md5 of seed and id, then by id, size and place. Null texts and texts without
     words have size 0 and are never taken; null sources are one source; repeated rows are
@@ -122,10 +122,11 @@ def mix(
     pieces = passes.select("*", F.explode(F.sequence(first, last)).alias("block_no")).select(
         "rid", "source", "epoch", "block_no",
         (F.least("hi", (F.col("block_no") + 1) * F.lit(block)) - F.greatest("lo", F.col("block_no") * F.lit(block))).alias("words"),
+        F.greatest(F.col("lo") - F.col("block_no") * F.lit(block), F.lit(0)).alias("at"),
     )
     slots = schedule(goals, block)
     on = pieces["source"].eqNullSafe(slots["source"]) & (pieces["block_no"] == slots["block_no"])
-    return pieces.join(slots, on).select("rid", "epoch", "slot", "words"), known.select("rid", "id", "source", "size", "source_size", "target")
+    return pieces.join(slots, on).select("rid", "epoch", "slot", "at", "words"), known.select("rid", "id", "source", "size", "source_size", "target")
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -143,14 +144,21 @@ def mixed_documents(
     """The mix as rows of ``docs``: one row per document and pass, in all its columns.
 
     A document that a pass takes whole keeps its text; one at the end of its source's share
-    keeps the words taken, up to the end of the last one. ``docs`` must be a stored table.
+    keeps the words taken, up to the end of the last one. Rows come in the order of the mix: by
+    the first slot that takes from the document, then by place in it. ``docs`` must be a stored
+    table.
     """
     parts, _ = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    taken = parts.groupBy("rid", "epoch").agg(F.sum("words").cast("long").alias("_words"))
+    taken = parts.groupBy("rid", "epoch").agg(
+        F.sum("words").cast("long").alias("_words"), F.min(F.struct("slot", "at")).alias("_first")
+    )
     columns = [F.col(c) for c in docs.columns]
-    row, words_col = fresh("_rid", docs.columns), fresh("_words", docs.columns)
+    row, words_col, slot, place = (fresh(n, docs.columns) for n in ("_rid", "_words", "_slot", "_at"))
     rows = docs.select(*columns, F.monotonically_increasing_id().alias(row))
-    rows = rows.join(taken.select(F.col("rid").alias(row), F.col("_words").alias(words_col)), row).select(*columns, words_col)
+    named = taken.select(
+        F.col("rid").alias(row), F.col("_words").alias(words_col), F.col("_first.slot").alias(slot), F.col("_first.at").alias(place)
+    )
+    rows = rows.join(named, row).repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*columns, words_col)
     names = docs.columns
     at = names.index(text_col)
 
