@@ -262,6 +262,15 @@ def test_one_of_each_keeps_columns_and_one_row(docs, empty):
     assert one_of_each(empty).count() == 0 and similar_components(empty).count() == 0
 
 
+def test_components_sharing_an_id_keep_a_row_each(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (3, ""), (None, None)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = Counter((r.doc_id, r.text) for r in one_of_each(spark.read.parquet(path)).collect())
+    assert got == Counter([(1, one), (1, two), (None, three), (3, ""), (None, None)])
+
+
 # -- 5
 
 

@@ -165,6 +165,13 @@ def similar_components(
     table gives an empty table; other columns are ignored. ``docs`` must be a stored table;
     rid is the place of a row in it. Sets are told apart by 64-bit digests.
     """
+    return keyed_components(docs, size, percent, id_col, text_col).drop("component")
+
+
+def keyed_components(
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``similar_components`` with ``component``, a key no two components share; null without shingles."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sized(texts: pa.Array) -> Iterator[tuple]:
@@ -276,19 +283,24 @@ def similar_components(
     labels = component_labels(links, "a", "b").withColumnRenamed("id", "set_id")
     known = sets.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = known.join(smallest, "component").select("set_id", "component_id")
+    named = known.join(smallest, "component").select("set_id", "component_id", "component")
     return indexed.select("rid", "id", "n", "set_id").join(named, "set_id", "left").select(
         "rid", F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component",
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one per component, the first stored row of its smallest id."""
-    found = similar_components(docs, size, percent, id_col, text_col)
-    mine = found.select("rid", F.col(id_col).alias("id"), "component_id", "n_shingles")
-    alone = mine.filter((F.col("n_shingles") == 0) | F.col("component_id").isNull()).select("rid")
-    first = mine.filter((F.col("n_shingles") > 0) & (F.col("id") == F.col("component_id"))).groupBy("component_id").agg(F.min("rid").alias("rid")).select("rid")
+    """The rows of ``docs`` that stay: one per component, the first stored row of its smallest id.
+
+    Ids need not be distinct or set: components that share an id keep a row each, null ids come
+    last. Rows without shingles all stay.
+    """
+    found = keyed_components(docs, size, percent, id_col, text_col)
+    mine = found.select("rid", F.col(id_col).alias("id"), "component")
+    alone = mine.filter(F.col("component").isNull()).select("rid")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "rid")
+    first = mine.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("first")).select("first.rid")
     row = fresh("_rid", docs.columns)
     stays = alone.unionByName(first).withColumnRenamed("rid", row)
     rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row))
