@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import toxicity
 from verdigris.llm.embedding_dups import near_duplicates
+from verdigris.llm.fill_in_middle import fill_in_middle_digests
 from verdigris.llm.jaccard_join import similar_components
+from verdigris.llm.merkle import LOWER, UPPER, document_manifest
 from verdigris.llm.mixing import taken_words
 from verdigris.llm.packing import pack
+from verdigris.llm.personal_data import BASE, KINDS, PATTERNS, span_report
 from verdigris.llm.sharding import KEY, ROUND_PAIRS, STEPS, shard_rows
 from verdigris.llm.substring_dedup import repeat_report
 from verdigris.llm.token_counts import token_counts
@@ -203,3 +206,90 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_substring_dedup", _REPEATS_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_report(table(spark, folder, "documents"))
+
+
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        parts = ["doc_id", "source", "lang", "n_chars", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({p}::VARCHAR))::VARCHAR || ':' || {p}::VARCHAR, '-')" for p in parts) + ")"
+
+    def tree(name: str, nodes: str) -> str:
+        """Nodes of all levels of trees keyed ``g``: (lvl, g, c, n, h)."""
+        return f"""{name} AS (SELECT 0 AS lvl, g, c, n, h FROM ({nodes}) UNION ALL
+    SELECT lvl + 1, g, c // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY c)) FROM {name} WHERE n > 1 GROUP BY lvl, g, c // 16),
+  {name}_side AS (SELECT x.lvl, x.g, x.c, coalesce(string_agg(y.h, '' ORDER BY y.c) FILTER (y.c < x.c), '') AS l,
+      coalesce(string_agg(y.h, '' ORDER BY y.c) FILTER (y.c > x.c), '') AS r
+    FROM {name} x JOIN {name} y ON x.lvl = y.lvl AND x.g = y.g AND x.c // 16 = y.c // 16 WHERE x.n > 1 GROUP BY x.lvl, x.g, x.c)"""
+
+    def walk(name: str, of: str, rows: str) -> str:
+        return f"""{name} AS (SELECT row, 0 AS lvl, g, c, h, p FROM ({rows}) UNION ALL
+    SELECT row, w.lvl + 1, w.g, w.c // 16, sha256(s.l || h || s.r), p || s.l || s.r FROM {name} w JOIN {of}_side s ON w.lvl = s.lvl AND w.g = s.g AND w.c = s.c),
+  {name}_end AS (SELECT row, arg_max(g, lvl) AS g, arg_max(h, lvl) AS h, arg_max(p, lvl) AS p FROM {name} GROUP BY row)"""
+
+    crc = _crc_sql().replace("text", "doc_id::VARCHAR")
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '-') AS g, {leaf("text")} AS leaf,
+      CASE WHEN coalesce({crc} % 5 = 0 AND doc_id IS NOT NULL, false) THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf("text")} END AS shown FROM documents),
+  placed AS (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS c, count(*) OVER (PARTITION BY g) AS n FROM d),
+  {tree("low", "SELECT g, c, n, leaf AS h FROM placed")},
+  subroots AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS c, count(*) OVER () AS n FROM low WHERE n = 1),
+  {tree("high", "SELECT '' AS g, c, n, h FROM subroots")},
+  {walk("up", "low", "SELECT row, g, c, shown AS h, '' AS p FROM placed")},
+  {walk("top", "high", "SELECT row, '' AS g, s.c, u.h, u.p FROM up_end u JOIN subroots s ON s.g = u.g")}
+  SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(t.p) AS proof_sha256, t.h AS folded_root, t.h = r.h AS verified
+  FROM placed JOIN subroots s USING (g) JOIN top_end t USING (row), (SELECT h FROM high WHERE n = 1) r"""
+
+
+@query("op11_merkle_manifest", _manifest_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+_MIDDLE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  h AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    list_transform(range(4), lambda i: list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(k, (1 + 8 * i)::INT, 8), ''),
+      lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda a, x: a * 16 + x)) AS h FROM d),
+  c AS (SELECT doc_id, text, units, len(units)::BIGINT AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM p"""
+
+
+@query("op12_fill_in_middle", _MIDDLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, folder, "documents"))
+
+
+def _personal_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({digits}, (length({digits}) - i + 1)::INT, 1)::INT
+      ELSE (2 * substr({digits}, (length({digits}) - i + 1)::INT, 1)::INT) // 10 + (2 * substr({digits}, (length({digits}) - i + 1)::INT, 1)::INT) % 10 END)) % 10 = 0"""
+    plain = "replace(m, ' ', '')"
+    value = "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END"
+    numbers = f"array_to_string(list_transform(string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''), {value}), '')"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "account": f"list_reduce(list_prepend(0, list_transform(string_split({numbers}, ''), lambda c: c::INT)), lambda a, x: (a * 10 + x) % 97) = 1",
+        "login": "true",
+    }
+    finds = []
+    for nth, kind in enumerate(KINDS):
+        pattern = PATTERNS[kind].replace("'", "''")
+        finds.append(f"""SELECT row, {nth} AS nth, '{kind}' AS kind, m, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT row, ms, p, i, ms[i] AS m FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS p FROM d), unnest(range(1, len(ms) + 1)) AS t(i)) WHERE {valid[kind]}""")
+    base = f"kind IN {BASE}"
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, nth) {}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE)
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+  f AS ({" UNION ALL ".join(finds)}),
+  g AS (SELECT row, {counts}, {listed.format(f"FILTER ({base})")} AS base, {listed.format("")} AS spans FROM f GROUP BY row)
+  SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"""
+
+
+@query("op13_personal_data", _personal_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return span_report(table(spark, folder, "documents"))
