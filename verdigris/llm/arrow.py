@@ -8,13 +8,26 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 pa.set_memory_pool(pa.system_memory_pool())  # returns freed batches at once, so idle workers stay small
 
 
+def row_ids(docs: DataFrame) -> Column:
+    """The place of each row in a stored table, alike in every scan of it.
+
+    How files are split follows the number of registered cores unless that is fixed, and cores
+    come and go; so it is fixed once per session. Large tables are split by size anyway.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application."""
     app = spark.sparkContext.applicationId

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.arrow import arrow_map, field, good_vectors, groups, matrix
+from verdigris.llm.arrow import arrow_map, field, good_vectors, groups, matrix, row_ids
 from verdigris.operators.components import component_labels
 from verdigris.session import materialize
 
@@ -70,7 +70,7 @@ def near_duplicates(
     are ignored. ``vectors`` must be a stored table.
     """
     spark = vectors.sparkSession
-    narrow = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    narrow = vectors.select(row_ids(vectors).alias("rid"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,10 +10,17 @@ the index lists whole blocks by digest, and every list whose block differs is sk
 Size classes fix the number of blocks: a pair lies in one class or in two neighboring ones,
 which share a second set of block lists.
 
-Answer skipping: the sets on one list form a group with its first set as pivot. In a group,
-each set is held as its difference from what most of the group share, and the overlap of two
-sets follows from the common answer and the overlap of their two small differences. Groups are
-cut into a grid of bounded cells; a cell reports a spanning forest of its links, never pairs.
+Answer skipping: the sets on one list form a group with its first set as pivot. A group is cut
+into cells of bounded size, the pivot is copied to each, and a cell compares its own sets and
+the pivot; in a cell each set is held as its difference from what most of the cell share, and
+the overlap of two sets follows from the common answer and their two small differences. A set
+that is connected with the pivot needs no more: its component is the pivot's. Of the others,
+the answer known so far, the distance to the pivot, bounds all further ones: two sets whose
+distances to the pivot differ by more than D cannot link. So what is left of a group lies in
+the order of that distance, is cut by position into blocks, and only pairs of blocks within D
+that hold an unconnected set are compared. Cells report spanning forests, never pairs, and
+the rows sent grow with the group, and beyond it only with its unconnected sets.
+
 Equal sets are folded before all this.
 """
 
@@ -27,12 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.arrow import arrow_map, field, fresh
+from verdigris.functions.running import ranked
+from verdigris.llm.arrow import arrow_map, field, fresh, row_ids
 from verdigris.llm.embedding_dups import _union
 from verdigris.llm.substring_dedup import _runs_over_batches
 from verdigris.llm.words import Words, mix, runs, slices
 from verdigris.operators.components import component_labels
-from verdigris.session import materialize
+from verdigris.session import discard, materialize
 
 CELL = 256
 GROWTH = 1.7
@@ -163,41 +171,61 @@ def similar_components(
     the smallest id reachable over links (null ids are passed over). Texts without words, and
     null texts, have no shingles and are alone. Repeated rows are in one component. An empty
     table gives an empty table; other columns are ignored. ``docs`` must be a stored table;
-    rid is the place of a row in it. Sets are told apart by 64-bit digests.
+    rid is the place of a row in it. Equal sets are known by 128 bits.
     """
     return keyed_components(docs, size, percent, id_col, text_col).drop("component")
 
 
 def keyed_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64, cell: int = CELL
 ) -> DataFrame:
-    """``similar_components`` with ``component``, a key no two components share; null without shingles."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``similar_components`` with ``component``, a key no two components share; null without shingles.
+
+    ``name_bits`` shortens the sets' first names and ``cell`` the cells; results do not depend on either.
+    """
+    rows = docs.select(row_ids(docs).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    renamed: list[int] = []
 
     def sized(texts: pa.Array) -> Iterator[tuple]:
+        """Sets of slices of texts with their names: 64 bits that serve as id, and 64 more."""
         for at, part in slices(texts):
             grams, bounds = shingle_sets(Words(part, lower=True), size)
             n = np.diff(bounds)
-            total = np.zeros(len(grams) + 1, np.uint64)
-            np.cumsum(mix(grams + np.uint64(7)), out=total[1:])
-            yield at, grams, bounds, n, mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
+            names = []
+            for key in (7, 0x2545F4914F6CDD1D):
+                total = np.zeros(len(grams) + 1, np.uint64)
+                np.cumsum(mix(grams + np.uint64(key)), out=total[1:])
+                names.append(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)))
+            name, check = names[0] >> np.uint64(64 - name_bits), names[1]
+            if renamed:
+                name = np.where(np.isin(name, np.array(renamed, np.uint64)), mix(check + name), name)
+            yield at, grams, bounds, n, name.view(np.int64), check.view(np.int64)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, _, _, n, digest in sized(b.column(2)):
+            for at, _, _, n, digest, check in sized(b.column(2)):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(digest, mask=n == 0)],
-                    ["rid", "id", "n", "set_id"],
+                    [b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(digest, mask=n == 0), pa.array(check)],
+                    ["rid", "id", "n", "set_id", "check"],
                 )
 
-    indexed = materialize(arrow_map(rows, name, [*rows.schema.fields[:2], field("n", "bigint"), field("set_id", "bigint")]), "set-names")
-    sets = materialize(
-        indexed.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("first_id"), F.min("rid").alias("rid")), "sets"
-    )
+    while True:
+        kinds = [*rows.schema.fields[:2], field("n", "bigint"), field("set_id", "bigint"), field("check", "bigint")]
+        indexed = materialize(arrow_map(rows, name, kinds), "set-names")
+        folded = indexed.filter("n > 0").groupBy("set_id").agg(
+            F.min("id").alias("first_id"), F.min("rid").alias("rid"), (F.min("check") != F.max("check")).alias("clash")
+        )
+        sets = materialize(folded, "sets")
+        # Sets that share 64 bits of their names: none in practice, three among 10**10 sets.
+        clash = [r[0] % (1 << 64) for r in sets.filter("clash").select("set_id").collect()]
+        if not clash:
+            break
+        renamed = renamed + clash
+        discard(indexed, sets)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, grams, bounds, n, digest in sized(b.column(0)):
+            for _, grams, bounds, n, digest, _ in sized(b.column(0)):
                 once = np.zeros(len(n), bool)
                 once[np.unique(digest, return_index=True)[1]] = True  # equal sets of a slice list their blocks once
                 keys, owner = block_keys(grams, bounds, percent)
@@ -230,13 +258,6 @@ def keyed_components(
     lists = listed.repartition("key").sortWithinPartitions("key", "set_id")
     members = materialize(arrow_map(lists, pivots, [field("pivot", "bigint"), field("set_id", "bigint")]).distinct(), "members")
 
-    grid = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("g"))
-    placed = members.join(grid, "pivot").withColumn("s", F.pmod(F.xxhash64("set_id"), F.col("g")).cast("int"))
-    spread = placed.select("set_id", "pivot", "s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select(
-        "set_id", F.xxhash64("pivot", F.least("s", "o"), F.greatest("s", "o")).alias("cell")
-    )
-    wanted = spread.join(sets.select("set_id", "rid"), "set_id")
-
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -244,15 +265,23 @@ def keyed_components(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["rid", "packed"])
 
     packed = arrow_map(rows.select("rid", "text"), squeeze, [rows.schema["rid"], field("packed", "binary")])
-    texts = materialize(packed.join(members.join(sets, "set_id").select("rid").distinct(), "rid", "left_semi"), "member-texts")
-    cells = wanted.join(texts, "rid").select("cell", "set_id", "packed").repartition("cell").sortWithinPartitions("cell", "set_id")
+    wanted = sets.join(members.select("set_id").distinct(), "set_id").select("rid", "set_id")
+    texts = materialize(packed.join(wanted, "rid").select("set_id", "packed"), "member-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of each cell, and (a, pivot, distance, size) of the sets of groups of several cells."""
         opener = zstandard.ZstdDecompressor()
         for t in _runs_over_batches(batches, "cell"):
-            cell, set_id = t.column("cell").to_numpy(), t.column("set_id").to_numpy()
-            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-            a_out, b_out = [], []
+            place, set_id = t.column("cell").to_numpy(), t.column("set_id").to_numpy()
+            pivot = t.column("pivot").fill_null(0).to_numpy()
+            asked = t.column("pivot").is_valid().to_numpy()
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            out: list[list[np.ndarray]] = [[], [], [], []]
+
+            def put(*columns: np.ndarray) -> None:
+                for have, new in zip(out, columns):
+                    have.append(new)
+
             at = 0
             while at < len(cuts) - 1:  # several whole cells at a time, bounded by rows
                 to = at + 1
@@ -269,27 +298,95 @@ def keyed_components(
                     lo, hi = cuts[k] - cuts[at], cuts[k + 1] - cuts[at]
                     if hi - lo < 2:
                         continue
-                    a, b = _cell_links(grams[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], percent)
+                    mine, edge = grams[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+                    ids = set_id[cuts[k] : cuts[k + 1]]
+                    a, b = _cell_links(mine, edge, percent)
                     if len(a):
                         root = _union(hi - lo, a, b)
                         moved = np.flatnonzero(root != np.arange(hi - lo))
-                        a_out.append(set_id[cuts[k] + moved])
-                        b_out.append(set_id[cuts[k] + root[moved]])
+                        put(ids[moved], ids[root[moved]], np.full(len(moved), -1), np.zeros(len(moved), np.int64))
+                    here = slice(cuts[k], cuts[k + 1])
+                    for p in np.unique(pivot[here][asked[here]]):
+                        center = int(np.flatnonzero(ids == p)[0])
+                        inside = np.isin(mine, mine[edge[center] : edge[center + 1]])
+                        n = np.diff(edge)
+                        far = n + n[center] - 2 * np.bincount(np.repeat(np.arange(hi - lo), n), inside, hi - lo).astype(np.int64)
+                        tell = asked[here] & (pivot[here] == p) & (ids != p)
+                        put(ids[tell], np.full(int(tell.sum()), p), far[tell], n[tell])
                 at = to
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
-    links = materialize(arrow_map(cells, compare, [field("a", "bigint"), field("b", "bigint")]).distinct(), "set-links")
-    labels = component_labels(links, "a", "b").withColumnRenamed("id", "set_id")
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["a", "b", "far", "n"])
+
+    def compared(spread: DataFrame) -> DataFrame:
+        """``spread`` (set_id, cell, pivot) compared within cells."""
+        rows_of = spread.join(texts, "set_id").select("cell", "set_id", "packed", "pivot").repartition("cell").sortWithinPartitions("cell", "set_id")
+        return arrow_map(rows_of, compare, [field(c, "bigint") for c in ("a", "b", "far", "n")])
+
+    grid = materialize(members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("g")), "groups")
+    asked = F.when(F.col("g") > 1, F.col("pivot")).alias("pivot")
+    placed = members.filter("set_id <> pivot").join(grid, "pivot").select(
+        "set_id", F.xxhash64("pivot", F.pmod(F.xxhash64("set_id"), F.col("g")).cast("int")).alias("cell"), asked
+    )
+    copies = grid.select("pivot", "g", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("s")).select(
+        F.col("pivot").alias("set_id"), F.xxhash64("pivot", "s").alias("cell"), asked
+    )
+    first = materialize(compared(placed.unionByName(copies)), "first-answers")
+    links = first.filter("far < 0").select("a", "b").distinct()
+    answers = first.filter("far >= 0").select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), "far", "n")
+    links = materialize(links, "set-links")
+    labels = component_labels(links, "a", "b")
+    if not answers.isEmpty():
+        labels = materialize(labels, "set-labels")
+        rest = _block_pairs(answers, labels, percent, cell)
+        if rest is not None:
+            more = compared(rest).filter("far < 0").select("a", "b")
+            tree = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            links = materialize(more.unionByName(tree).distinct(), "set-links")
+            labels = component_labels(links, "a", "b")
+    labels = labels.withColumnRenamed("id", "set_id")
     known = sets.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = known.join(smallest, "component").select("set_id", "component_id", "component")
+    named = materialize(known.join(smallest, "component").select("set_id", "component_id", "component"), "set-components")
+    discard(members, grid, texts, first, links, sets)
     return indexed.select("rid", "id", "n", "set_id").join(named, "set_id", "left").select(
         "rid", F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component",
     )
 
 
+def _block_pairs(answers: DataFrame, labels: DataFrame, percent: int, cell: int) -> DataFrame | None:
+    """Cells (set_id, cell, pivot) of what the distances to the pivots leave open in large groups; None: nothing.
+
+    ``answers`` is (set_id, pivot, far, n) with the distance to the pivot and the set's size.
+    """
+    num, den = 100 - percent, 100 + percent
+    mine, other = (labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("set_id", "pivot"))
+    known = answers.join(mine, "set_id", "left").join(other, "pivot", "left")
+    settled = F.coalesce("set_id_part", "set_id") == F.coalesce("pivot_part", "pivot")
+    known = materialize(known.select("pivot", "set_id", "far", "n", settled.alias("settled")), "answers")
+    open_groups = known.filter("NOT settled").select("pivot").distinct()
+    if open_groups.isEmpty():
+        return None
+    order = [F.col("far").asc(), F.col("set_id").asc()]
+    laid = ranked(known.join(open_groups, "pivot", "left_semi"), order, ["pivot", "settled"], name="nth")
+    laid = materialize(laid.withColumn("block", F.floor((F.col("nth") - 1) / F.lit(cell))), "answer-blocks")
+    blocks = laid.groupBy("pivot", "settled", "block").agg(
+        F.min("far").alias("near"), F.max("far").alias("far"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    x, y = blocks.filter("NOT settled").alias("x"), blocks.alias("y")
+    gap = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"), F.lit(0))
+    both = (
+        x.join(y, F.col("x.pivot") == F.col("y.pivot"))
+        .filter(F.col("y.settled") | (F.col("y.block") >= F.col("x.block")))
+        .filter(gap * den <= (F.col("x.most") + F.col("y.most")) * num)
+        .filter((F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100))
+    )
+    place = F.xxhash64("x.pivot", "x.block", "y.settled", "y.block").alias("cell")
+    sides = [both.select(*[F.col(f"{s}.{c}").alias(c) for c in ("pivot", "settled", "block")], place) for s in ("x", "y")]
+    spread = laid.join(sides[0].unionByName(sides[1]).distinct(), ["pivot", "settled", "block"])
+    return spread.select("set_id", "cell").distinct().withColumn("pivot", F.lit(None).cast("bigint"))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one per component, the first stored row of its smallest id.
 
@@ -303,5 +400,5 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     first = mine.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("first")).select("first.rid")
     row = fresh("_rid", docs.columns)
     stays = alone.unionByName(first).withColumnRenamed("rid", row)
-    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row))
+    rows = docs.select(*docs.columns, row_ids(docs).alias(row))
     return rows.join(stays, row, "left_semi").select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.functions.running import ranked, running_sums
-from verdigris.llm.arrow import arrow_map, fresh
+from verdigris.llm.arrow import arrow_map, fresh, row_ids
 from verdigris.llm.words import Words, word_counts
 from verdigris.session import materialize
 
@@ -30,7 +30,7 @@ CHUNK = 4096
 def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(id, source, rid, size); rid is the place of the row in the stored table ``docs``."""
     narrow = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), row_ids(docs).alias("rid"), F.col(text_col).alias("text")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def mixed_documents(
     )
     columns = [F.col(c) for c in docs.columns]
     row, words_col, slot, place = (fresh(n, docs.columns) for n in ("_rid", "_words", "_slot", "_at"))
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias(row))
+    rows = docs.select(*columns, row_ids(docs).alias(row))
     named = taken.select(
         F.col("rid").alias(row), F.col("_words").alias(words_col), F.col("_first.slot").alias(slot), F.col("_first.at").alias(place)
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.running import ranked
-from verdigris.llm.arrow import arrow_map, field
+from verdigris.llm.arrow import arrow_map, field, row_ids
 from verdigris.llm.bpe_transducer import transducer
 from verdigris.llm.words import slices
 from verdigris.session import materialize
@@ -64,7 +64,7 @@ def token_pieces(
                     ["rid", "id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(row_ids(docs).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = [*narrow.schema.fields[:2], field("piece", "int"), *[field(c, "bigint") for c in ("start", "length", "ids_crc32")]]
     return arrow_map(narrow, cut, schema)
 

@@ -11,7 +11,7 @@ two lengths into groups that fit a task, and only groups that can hold a deep no
 
 Each task first folds what repeats within its own slice of documents and sends one suffix per
 prefix, so a passage that a third of all documents share reaches a group at most once per slice.
-Prefixes are 64-bit digests of the words.
+Prefixes are told apart by digests of 96 bits, which 10**13 windows leave far from a collision.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.arrow import arrow_map, field, fresh
+from verdigris.llm.arrow import arrow_map, field, fresh, row_ids
 from verdigris.llm.words import Words, mix, runs, slices
 from verdigris.session import materialize
 
@@ -46,13 +46,11 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return starts, starts + offset[starts], hashes
 
 
-def _first_of_equal(digest: np.ndarray, order: np.ndarray) -> np.ndarray:
+def _first_of_equal(digest: np.ndarray, check: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Which rows are the first of their digest in the given order."""
-    by = np.lexsort((order, digest))
+    by = np.lexsort((order, check, digest))
     first = np.empty(len(by), bool)
-    same = np.zeros(len(by), bool)
-    same[1:] = digest[by][1:] == digest[by][:-1]
-    first[by] = ~same
+    first[by] = ~_repeats_equal(digest[by], check[by])[0]
     return first
 
 
@@ -84,10 +82,10 @@ def _by_document(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rid[first]), lists], ["rid", "starts"])
 
 
-def _repeats_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: not the first of its run; in a run of two or more."""
-    later = np.zeros(len(keys), bool)
-    later[1:] = keys[1:] == keys[:-1]
+def _repeats_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by all keys: not the first of its run; in a run of two or more."""
+    later = np.zeros(len(keys[0]), bool)
+    later[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
     many = later.copy()
     many[:-1] |= later[1:]
     return later, many
@@ -101,7 +99,7 @@ def repeated_words(
     The first frame has (rid, id, n_words, kept_sha256 as if nothing went) for every row, the
     second (rid, text, first words of the repeated windows). ``docs`` must be a stored table.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(row_ids(docs).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = rows.schema["id"]
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +167,15 @@ def repeated_words(
                 chosen[words.first[owner] + lists.flatten().to_numpy()] = True
                 starts = starts[chosen[anchor]]
                 digest = runs(hashes, window)[starts]
+                check = (runs(hashes, window, stream=1)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 row = words.row[starts]
                 place = starts - words.first[row]
-                first = _first_of_equal(digest, (rank[row + at] << 32) | place)
+                first = _first_of_equal(digest, check, (rank[row + at] << 32) | place)
                 rid = rids[row + at]
                 key = np.where(first, digest, mix(rid.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), b.column(1).take(pa.array(row + at)), pa.array(rid), pa.array(place.astype(np.int32)), pa.array(~first)],
-                    ["key", "id", "rid", "start", "known"],
+                    [pa.array(key.view(np.int64)), pa.array(np.where(first, check, 0)), b.column(1).take(pa.array(row + at)), pa.array(rid), pa.array(place.astype(np.int32)), pa.array(~first)],
+                    ["key", "check", "id", "rid", "start", "known"],
                 )
 
     def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +183,9 @@ def repeated_words(
         for t in _runs_over_batches(batches, "key"):
             # Known repeats carry keys of their own; if one meets a digest it must not hide a first.
             known = t.column("known").to_numpy(zero_copy_only=False)
-            keys = t.column("key").to_numpy()
             later = known.copy()
             asked = np.flatnonzero(~known)
-            later[asked] = _repeats_equal(keys[asked])[0]
+            later[asked] = _repeats_equal(*(t.column(c).to_numpy()[asked] for c in ("key", "check")))[0]
             kept.append((t.column("rid").to_numpy()[later], t.column("start").to_numpy()[later]))
             held += int(later.sum())
             if held >= GATHER:
@@ -197,9 +195,9 @@ def repeated_words(
             yield _by_document(kept)
 
     sent = arrow_map(
-        candidates, suffixes, [field("key", "bigint"), id_field, field("rid", "bigint"), field("start", "int"), field("known", "boolean")]
+        candidates, suffixes, [field("key", "bigint"), field("check", "int"), id_field, field("rid", "bigint"), field("start", "int"), field("known", "boolean")]
     )
-    grouped = sent.repartition("key").sortWithinPartitions("key", F.col("id").asc_nulls_last(), "rid", "start")
+    grouped = sent.repartition("key").sortWithinPartitions("key", "check", F.col("id").asc_nulls_last(), "rid", "start")
     repeats = arrow_map(grouped, later_ones, [field("rid", "bigint"), field("starts", "array<int>")])
     lists = materialize(repeats.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")  # at most the document's windows
     losing = candidates.select("rid", "packed").join(lists, "rid")
@@ -265,5 +263,5 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([rid, pa.array([b" ".join(w).decode() for w, _ in kept], pa.string())], [row, new_text])
 
     changed = _after(losing, window, make, [field(row, "bigint"), field(new_text, "string")])
-    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row)).join(changed, row, "left")
+    rows = docs.select(*docs.columns, row_ids(docs).alias(row)).join(changed, row, "left")
     return rows.select(*[F.coalesce(new_text, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])

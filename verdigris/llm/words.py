@@ -1,25 +1,25 @@
 """Words of whole texts as flat arrays, straight from Arrow buffers.
 
 A word is a run of bytes other than space and 0x09-0x0D; UTF-8 never uses those inside a
-character. Hashes are polynomial sums modulo 2**64, read off one running sum: the hash of
-bytes a..b is (sum[b] - sum[a]) / base**a. The same holds for runs of words.
+character. A word's hash is a sum over its 8-byte blocks, each added to a key of its place and
+mixed over 64 bits first; runs of words combine the hashes of shorter runs, mixed at every
+step. Plain polynomials modulo 2**64 would not do: words of two letters in a Thue-Morse order
+and with the letters swapped have equal sums whatever the base.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-BLOCK = 1 << 18
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,30 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(b: int) -> np.ndarray:
-        out = np.empty(room, np.uint64)
-        out[0] = 1
-        have, step = 1, b
-        while have < room:
-            take = min(have, room - have)
-            out[have : have + take] = out[:take] * np.uint64(step)
-            step = step * step % (1 << 64)
-            have += take
-        return out
-
-    return run(base), run(pow(base, -1, 1 << 64))
-
-
-def _powers_for(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of one size for all usual blocks; a longer block (one huge word) makes its own."""
-    return _powers(base, 2 * BLOCK) if n <= 2 * BLOCK else _powers.__wrapped__(base, n)
-
-
 def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a text column of at most ``limit`` bytes (one longer text alone), with their first row."""
     arr = arr.cast(pa.large_string())
@@ -101,32 +77,43 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):  # blocks of whole words keep the running sums short
-            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + BLOCK)))
-            lo, hi = self.starts[at], self.ends[to - 1]
-            n = int(hi - lo)
-            power, inverse = _powers_for(_BASE, n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUE[self.data[lo:hi]] * power[:n], out=total[1:])
-            a, b = self.starts[at:to] - lo, self.ends[at:to] - lo
-            out[at:to] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(_WORD_BASE))
-            at = to
-        return out
-
-
-def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive words; the last ``size - 1`` places are absent."""
-    n = max(0, len(hashes) - size + 1)
-    out = np.empty(n, np.uint64)
-    power, inverse = _powers_for(_WORD_BASE, BLOCK + size + 1)
-    for at in range(0, n, BLOCK):
-        part = hashes[at : at + BLOCK + size - 1]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * power[: len(part)], out=total[1:])
-        many = len(part) - size + 1
-        out[at : at + many] = mix((total[size:] - total[:many]) * inverse[:many])
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        block = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from any place on
+        size = (self.ends - self.starts).astype(np.uint64)
+        total = mix((block[self.starts] & _first_bytes(size)) + _PLACE)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long].astype(np.int64) - 1) // 8
+            first = np.cumsum(more) - more
+            nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+            at = np.repeat(self.starts[long], more) + 8 * nth
+            left = np.repeat(size[long], more) - (8 * nth).astype(np.uint64)
+            parts = mix((block[at] & _first_bytes(left)) + mix((nth + 1).astype(np.uint64) * _PLACE))
+            total[long] += np.add.reduceat(parts, first)
+        return mix(total + size * _LENGTH)
+
+
+def _first_bytes(size: np.ndarray) -> np.ndarray:
+    """Masks of the first ``size`` (at least 1) bytes of a block."""
+    return ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, np.uint64(8)))
+
+
+def runs(hashes: np.ndarray, size: int, stream: int = 0) -> np.ndarray:
+    """Hash of each run of ``size`` consecutive words; the last ``size - 1`` places are absent.
+
+    Hashes of different streams are independent of each other.
+    """
+    odd = np.uint64((int(_LENGTH) + 2 * 0x9E3779B97F4A7C15 * stream) % (1 << 64) | 1)
+    short = hashes if stream == 0 else mix(hashes + odd)
+    out, have, width = None, 0, 1
+    while have < size:
+        if size & width:
+            n = max(0, len(hashes) - have - width + 1)
+            out = short[:n] if out is None else mix(out[:n] * odd + short[have : have + n])
+            have += width
+        if have < size:
+            short = mix(short[: max(0, len(short) - width)] * odd + short[width:])
+            width *= 2
     return out
 
 
