@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -45,6 +46,52 @@ def test_dense_cells_equal_the_join(tables, monkeypatch, dense_pairs, cells):
     assert rows(R.best_matches(q, r, dense_pairs=dense_pairs), *cols) == want
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """One city of 3,000 addresses; queries without a pincode, with missing and misspelt parts."""
+    rng = random.Random(5)
+    streets = [f"{a} {b}" for a in ["old", "new", "lake", "hill", "river", "kale", "mill"] for b in ["view", "cross", "main", "gate", "palace"]]
+    values = {
+        "house_no": lambda: str(rng.randrange(1, 98)), "street": lambda: f"{rng.choice(streets)} road",
+        "area": lambda: f"sector {rng.randrange(1, 61)}", "building": lambda: rng.choice([None, f"{rng.choice(streets)} tower {rng.randrange(40)}"]),
+        "pincode": lambda: rng.choice([None, str(411000 + rng.randrange(40))]), "country": lambda: rng.choice([None, "india"]),
+    }
+    base = [{f: values[f]() if f in values else None for f in R.FIELDS} | {"city": "pune", "state": "maharashtra"} for _ in range(2900)]
+    base += [dict(rng.choice(base)) for _ in range(100)]  # equal addresses under other ids
+    asked = []
+    for _ in range(60):
+        mine = {f: v if f == "city" or rng.random() > 0.2 else None for f, v in rng.choice(base).items()} | {"pincode": None}
+        if mine["street"] and rng.random() < 0.4:
+            mine["street"] = mine["street"].replace("l", "").replace("road", "rd")
+        asked.append(mine)
+    asked += [{f: "pune" if f == "city" else None for f in R.FIELDS}, {f: {"city": "pune", "street": "zz"}.get(f) for f in R.FIELDS}]
+    schema = ", ".join(f"{f} STRING" for f in R.FIELDS)
+    r = spark.createDataFrame([(i, None, *b.values()) for i, b in enumerate(base)], f"address_id INT, canonical_address STRING, {schema}")
+    q = spark.createDataFrame([(i, *b.values()) for i, b in enumerate(asked)], f"query_id INT, {schema}")
+    return q.cache(), r.cache()
+
+
+def test_crowded_city_scores_few_pairs(crowded):
+    q, r = crowded
+    cols = ["query_id", "place", "address_id", "score", "exact_count", "strategy"]
+    want = rows(R.top_matches(R.block_pairs(q, r)), *cols)
+    assert rows(R.best_matches(q, r), *cols) == want
+    left, right = q.toPandas().iloc[:60], r.toPandas()
+    index = address_dense.AddressIndex(right, R.FIELD_WEIGHTS, R.KINDS, R.STRONG_FIELDS)
+    got = index.best(left, 3)
+    expect = [(w[0], w[2], w[3], w[4]) for w in want if w[0] < 60]
+    assert sorted(zip(got.query_id, got.address_id, got.score, got.exact_count)) == sorted(expect)
+    assert index.scored < 0.1 * len(left) * len(right)
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(3)
+    values = [k / 2**n for n in (1, 5, 9, 10, 11) for k in range(1, 200)] + [rng.random() for _ in range(2000)] + [(2 * k + 1) * 0.5e-9 for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    want = [x[0] for x in df.select(F.round("v", 9)).collect()]
+    assert address_dense.round_half_up(np.array(values)).tolist() == want
+
+
 def test_pair_slices_do_not_change_pairs(tables):
     q, r = tables
     cols = ["query_id", "address_id", "score"]

@@ -279,7 +279,7 @@ def block_pairs(
     placed = block_keys(records, "address_id").join(chosen.select("level", "key").distinct(), ["level", "key"], "left_semi")
     left, right, total = _sliced(chosen, placed, pairs_per_slice)
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    n = max(cores, min(100_000, -(-total // pairs_per_slice)))
+    n = max(cores, -(-total // pairs_per_slice))
     on = ["level", "key", "slice"]
     left = left.join(q, "query_id").repartition(n, *on)
     right = right.join(r, "address_id").repartition(n, *on)
@@ -310,8 +310,9 @@ def best_matches(
 ) -> DataFrame:
     """Top n addresses per query: the result of ``top_matches(block_pairs(...))``.
 
-    Blocks with more than ``dense_pairs`` pairs are scored cell by cell (``address_dense``);
-    their pairs never become rows. Small blocks and token candidates stay in the join.
+    Blocks with more than ``dense_pairs`` pairs are answered cell by cell from posting lists
+    (``address_dense``), which score a small part of the pairs; their pairs never become rows.
+    Small blocks and token candidates stay in the join. Scores are alike to the last digit.
     """
     chosen = materialize(chosen_blocks(queries, records), "chosen")
     placed = block_keys(records, "address_id").join(chosen.select("level", "key").distinct(), ["level", "key"], "left_semi")
