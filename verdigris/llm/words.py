@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+CHUNK = 1 << 16
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,18 +80,26 @@ class Words:
         """64-bit hash of each word."""
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         block = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from any place on
-        size = (self.ends - self.starts).astype(np.uint64)
-        total = mix((block[self.starts] & _first_bytes(size)) + _PLACE)
-        long = np.flatnonzero(size > 8)
-        if len(long):
-            more = (size[long].astype(np.int64) - 1) // 8
-            first = np.cumsum(more) - more
-            nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
-            at = np.repeat(self.starts[long], more) + 8 * nth
-            left = np.repeat(size[long], more) - (8 * nth).astype(np.uint64)
-            parts = mix((block[at] & _first_bytes(left)) + mix((nth + 1).astype(np.uint64) * _PLACE))
-            total[long] += np.add.reduceat(parts, first)
-        return mix(total + size * _LENGTH)
+        out = np.empty(len(self.starts), np.uint64)
+        for at in range(0, len(out), CHUNK):  # what is made on the way stays small
+            starts, ends = self.starts[at : at + CHUNK], self.ends[at : at + CHUNK]
+            size = (ends - starts).astype(np.uint64)
+            total = mix((block[starts] & _first_bytes(size)) + _PLACE)
+            long = np.flatnonzero(size > 8)
+            if len(long):
+                total[long] += _later_blocks(block, starts[long], size[long])
+            out[at : at + CHUNK] = mix(total + size * _LENGTH)
+        return out
+
+
+def _later_blocks(block: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum over a word's blocks from the second on, for words of more than 8 bytes."""
+    more = (size.astype(np.int64) - 1) // 8
+    first = np.cumsum(more) - more
+    nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+    at = np.repeat(starts, more) + 8 * nth
+    left = np.repeat(size, more) - (8 * nth).astype(np.uint64)
+    return np.add.reduceat(mix((block[at] & _first_bytes(left)) + mix((nth + 1).astype(np.uint64) * _PLACE)), first)
 
 
 def _first_bytes(size: np.ndarray) -> np.ndarray:
@@ -103,6 +112,13 @@ def runs(hashes: np.ndarray, size: int, stream: int = 0) -> np.ndarray:
 
     Hashes of different streams are independent of each other.
     """
+    out = np.empty(max(0, len(hashes) - size + 1), np.uint64)
+    for at in range(0, len(out), CHUNK):
+        out[at : at + CHUNK] = _runs(hashes[at : at + CHUNK + size - 1], size, stream)
+    return out
+
+
+def _runs(hashes: np.ndarray, size: int, stream: int) -> np.ndarray:
     odd = np.uint64((int(_LENGTH) + 2 * 0x9E3779B97F4A7C15 * stream) % (1 << 64) | 1)
     short = hashes if stream == 0 else mix(hashes + odd)
     out, have, width = None, 0, 1
