@@ -37,6 +37,43 @@ def fit_account_model(train: DataFrame, columns: list[str], **params) -> Pipelin
     return boosted_pipeline(columns, **params).fit(with_class_weights(train))
 
 
+LABELLED_ROWS = 2_000_000
+
+
+def bounded_rows(df: DataFrame, limit: int = LABELLED_ROWS, key: str = "account_id") -> DataFrame:
+    """At most about ``limit`` labelled rows, drawn by a hash of the key; all of them below that."""
+    n = df.count()
+    if n <= limit:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit("labelled"), F.col(key)), F.lit(1 << 30)) < F.lit(int(limit / n * (1 << 30))))
+
+
+def fit_stopped(rows: DataFrame, columns: list[str], train: str = "split = 'train'", held: str = "split = 'val'", limit: int = LABELLED_ROWS, key: str = "account_id", **params) -> PipelineModel:
+    """Boosted trees that end once a tree no longer lowers the loss on the held rows.
+
+    ``rows`` has ``label``; those matching ``train`` are fitted, those matching ``held`` are
+    only watched. Positives weigh negatives / positives of the fitted rows. The fit reads at
+    most about ``limit`` labelled rows.
+    """
+    known = bounded_rows(rows.filter(f"({train}) OR ({held})"), limit, key).withColumn("held", F.expr(held))
+    row = known.filter("NOT held").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")).first()
+    ratio = float(row["n"]) / row["p"] if row["p"] else 1.0
+    known = known.withColumn("class_weight", F.when(F.col("label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+    options = {"maxIter": 60, "maxDepth": 5, "validationTol": 0.001, **params}
+    if not known.filter("held").isEmpty():
+        options["validationIndicatorCol"] = "held"
+    return boosted_pipeline(columns, **options).fit(known)
+
+
+def fit_report(model: PipelineModel, rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(model, trees, columns, pr_auc, roc_auc) over ``rows``: the size of a fit and how it ranks them."""
+    ranked = score(model, rows, columns).select(F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), F.col("proba").alias("score"))
+    trees = model.stages[-1].getNumTrees
+    return auc_metrics(ranked, ["model"]).select(
+        "model", F.lit(trees).cast("long").alias("trees"), F.lit(len(columns)).cast("long").alias("columns"), "pr_auc", "roc_auc"
+    )
+
+
 def score(model: PipelineModel, df: DataFrame, columns: list[str], name: str = "proba") -> DataFrame:
     """Add the probability of the positive class; missing model columns are an error."""
     missing = [c for c in columns if c not in df.columns]
@@ -161,6 +198,16 @@ def ablate(model: PipelineModel, rows: DataFrame, columns: list[str], features:
     return score(model, copies.withColumns(swapped), columns).select(*keep, "feature", "proba")
 
 
+def ablate_wanted(model: PipelineModel, rows: DataFrame, columns: list[str], wanted: DataFrame, median_of: dict[str, float]) -> DataFrame:
+    """``ablate`` for the wanted (account_id, feature) pairs only, beside one unchanged copy of each account."""
+    names = sorted(median_of)
+    asked = wanted.select("account_id", "feature").filter(F.col("feature").isin(names))
+    asked = asked.unionByName(asked.select("account_id").distinct().withColumn("feature", F.lit("")))
+    copies = asked.join(rows.select("account_id", *columns), "account_id")
+    swapped = {f: F.when(F.col("feature") == f, F.lit(float(median_of[f] or 0.0))).otherwise(F.col(f).cast("double")) for f in names}
+    return score(model, copies.withColumns(swapped), columns).select("account_id", "feature", "proba")
+
+
 def population_ablation(scored: DataFrame) -> DataFrame:
     """Per feature: mean and mean absolute change of the score. Input from ``ablate``."""
     base = scored.filter("feature = ''").select("account_id", F.col("proba").alias("original"))

@@ -8,58 +8,93 @@ from verdigris.operators import evaluation as M
 from verdigris.operators import models as L
 from verdigris.operators import rings as K
 from verdigris.operators import splits as P
-from verdigris.operators.graph_metrics import degree_metrics
+from verdigris.operators import tree_contributions as C
+from verdigris.operators.neighborhood import fit_neighborhood, hop_layers, predict
+from verdigris.operators.tuning import draw_points, successive_halving
 from verdigris.plans.catalog.base_queries import behavior, rounded
-from verdigris.plans.catalog.case_queries import WEIGHTS, contributors
+from verdigris.plans.catalog.case_queries import contributors
 from verdigris.plans.catalog.graph_queries import edges, stored_features
 from verdigris.plans.catalog.model_queries import groups, members, split
 from verdigris.plans.catalog.prelude import PRELUDE
 from verdigris.plans.catalog.registry import query
+from verdigris.plans.catalog.whole_queries import whole_matrix
 from verdigris.session import materialize, scratch_path
 
-QUICK = {"maxIter": 5, "maxDepth": 3}
-TABULAR = [
+TREES = {"maxIter": 40, "maxDepth": 5}
+RING_TREES = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
+POINTS = 6
+FIT_PARTS = 8  # partitions of the labelled rows that a fit reads; they are bounded (LABELLED_ROWS)
+SMALL = [
     "total_orders", "avg_order_value", "return_rate", "refund_rate", "dispute_rate", "coupon_usage_rate",
     "discount_dependency_score", "account_age_days", "avg_order_gap_days", "distinct_devices",
     "shared_device_count", "shared_address_count", "accounts_per_phone", "orders_last_24h",
 ]
-GRAPH = ["shared_edge_count", "shared_edge_weight_sum", "degree_centrality"]
 
 
 def labelled(d):
-    """Features with graph columns, label and split; stored once."""
+    """The whole graph matrix, which holds the feature matrix, with label and split; stored once."""
     if not hasattr(d, "_labelled"):
         t = d.truth.select("account_id", F.col("true_ring_member").cast("double").alias("label"))
-        rows = stored_features(d).select("account_id", *TABULAR).join(
-            degree_metrics(d.accounts, edges(d)).select("account_id", *GRAPH), "account_id"
-        )
-        d._labelled = materialize(rows.join(t, "account_id").join(split(d), "account_id"), "labelled")
+        rows = whole_matrix(d).join(t, "account_id").join(split(d), "account_id")
+        d._labelled = materialize(rows, "labelled")
     return d._labelled
 
 
+def tabular(d):
+    """Every numeric column of the feature matrix."""
+    return P.input_columns(stored_features(d))
+
+
+def graph(d):
+    """Every numeric column of the graph matrix."""
+    return P.input_columns(whole_matrix(d))
+
+
 def fitted(d, columns, attr):
+    """Model and columns; fitted on train until the validation loss stops falling."""
     if not hasattr(d, attr):
         rows = labelled(d)
         keep = P.usable_columns(rows.select("account_id", *columns), rows.select("account_id", "split"))
-        setattr(d, attr, (L.fit_account_model(rows.filter("split = 'train'"), keep, **QUICK), keep))
+        known = materialize(rows.filter("split <> 'test'").select("account_id", "split", "label", *keep).coalesce(FIT_PARTS), "fit-rows")
+        setattr(d, attr, (L.fit_stopped(known, keep, **TREES), keep))
     return getattr(d, attr)
 
 
+def model_a(d):
+    return fitted(d, tabular(d), "_model_a")
+
+
+def model_b(d):
+    return fitted(d, graph(d), "_model_b")
+
+
 @query("l1_account_models")
 def l1(d):
+    """Tabular model A and graph model B on every numeric column that varies in train."""
     rows = labelled(d)
-    a, cols_a = fitted(d, TABULAR, "_model_a")
-    b, cols_b = fitted(d, TABULAR + GRAPH, "_model_b")
+    (a, cols_a), (b, cols_b) = model_a(d), model_b(d)
     out = L.score(b, L.score(a, rows, cols_a, "proba_A"), cols_b, "proba_B")
     return out.select("account_id", "split", F.col("label").cast("int").alias("true_label"), "proba_A", "proba_B")
 
 
+@query("l1b_model_report")
+def l1b(d):
+    """Trees, columns and validation ranking of models A and B and of one on fourteen columns."""
+    held = labelled(d).filter("split = 'val'")
+    reports = [L.fit_report(*args) for args in (
+        (model_a(d)[0], held, model_a(d)[1], "A"), (model_b(d)[0], held, model_b(d)[1], "B"),
+        (fitted(d, SMALL, "_model_small")[0], held, fitted(d, SMALL, "_model_small")[1], "small"),
+    )]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
 @query("l2_tuning")
 def l2(d):
-    train = labelled(d).filter("split = 'train'").join(P.group_folds(d.truth, folds=2), "account_id")
-    _, scores = L.tune_account_model(materialize(train, "folds"), TABULAR, folds=2, grid={"maxDepth": [2, 3], "maxIter": [3]})
-    rows = [(str(sorted(p.items())), float(v)) for p, v in scores]
-    return d.spark.createDataFrame(rows, "params STRING, average_precision DOUBLE")
+    """Successive halving over a seeded draw, five grouped folds; every fit's score."""
+    keep = model_a(d)[1]
+    train = labelled(d).filter("split = 'train'").join(P.group_folds(d.truth), "account_id")
+    train = materialize(train.select("account_id", "label", "fold", *keep).coalesce(FIT_PARTS), "folds")
+    return successive_halving(train, keep, draw_points(POINTS), trees=2, rungs=3)
 
 
 HOP_COLUMNS = ["return_rate", "total_orders", "coupon_usage_rate"]
@@ -76,14 +111,27 @@ def l3(d):
     return rounded(L.neighbor_means(materialize(base, "base"), edges(d), HOP_COLUMNS).select("account_id", *_HOPS), _HOPS)
 
 
+def neighborhood(d):
+    """The fitted neighborhood model on every numeric column, and its stored hop layers."""
+    if not hasattr(d, "_neighborhood"):
+        rows, keep = labelled(d), model_b(d)[1]
+        wide = hop_layers(rows.select("account_id", "split", "label", *keep), edges(d), keep, rows.filter("split = 'train'"))
+        d._neighborhood = (fit_neighborhood(wide.coalesce(FIT_PARTS), keep), wide)
+    return d._neighborhood
+
+
 @query("l3b_neighborhood_model")
 def l3b(d):
-    rows = labelled(d)
-    scaled = L.standardize(rows, HOP_COLUMNS, rows.filter("split = 'train'"))
-    wide = materialize(L.neighbor_means(scaled, edges(d), HOP_COLUMNS), "wide")
-    cols = [*HOP_COLUMNS, *_HOPS]
-    model = L.fit_neighborhood_model(wide.filter("split = 'train'"), cols)
-    return L.score(model, wide, cols, "proba_neighborhood").select("account_id", "split", "proba_neighborhood")
+    model, wide = neighborhood(d)
+    return predict(model, wide).select("account_id", "split", "proba_neighborhood")
+
+
+@query("l3d_neighborhood_report")
+def l3d(d):
+    """Looks at the held rows during the fit."""
+    model, _ = neighborhood(d)
+    rows = [(e, float(loss), float(ap), len(model.columns)) for e, loss, ap in model.history]
+    return d.spark.createDataFrame(rows, "epoch INT, loss DOUBLE, pr_auc DOUBLE, columns INT")
 
 
 @query("l3c_standardize", """
@@ -113,40 +161,62 @@ def l4(d):
 
 @query("l5_feature_importance")
 def l5(d):
-    model, cols = fitted(d, TABULAR + GRAPH, "_model_b")
+    model, cols = model_b(d)
     return L.feature_importance(model, cols, d.spark)
 
 
 @query("l6_batch_scoring")
 def l6(d):
-    model, cols = fitted(d, TABULAR, "_model_a")
+    model, cols = model_a(d)
     path = scratch_path(d.spark, "model")
     model.write().save(path)
     return L.score(PipelineModel.load(path), labelled(d), cols).select("account_id", "proba")
 
 
+def contributions(d):
+    """What every input adds to model A's score of every account; stored once."""
+    if not hasattr(d, "_tree_values"):
+        model, cols = model_a(d)
+        d._tree_values = materialize(C.tree_contributions(model, labelled(d), cols), "contributions")
+    return d._tree_values
+
+
+def strongest(d):
+    """The five largest contributions of each account."""
+    return C.strongest(C.by_feature(contributions(d), model_a(d)[1]))
+
+
 @query("l7_population_ablation")
 def l7(d):
-    model, cols = fitted(d, TABULAR, "_model_a")
+    """Test scores with each of the ten features of largest mean contribution at its median."""
+    model, cols = model_a(d)
     test = labelled(d).filter("split = 'test'")
-    mean_abs = L.linear_attributions(test, {c: w for c, w in WEIGHTS.items() if c in cols}).groupBy("feature").agg(F.avg(F.abs("value")).alias("m"))
-    top = [r["feature"] for r in mean_abs.orderBy(F.desc("m"), "feature").limit(10).collect()]
+    values = C.by_feature(contributions(d).join(test.select("account_id"), "account_id", "left_semi"), cols)
+    sizes = C.mean_sizes(values, test.count())
+    top = [r["feature"] for r in sizes.orderBy(F.desc("mean_abs"), "feature").limit(10).collect()]
     scored = materialize(L.ablate(model, test, cols, top, L.medians(test, top), ["account_id", "label"]), "ablated")
     long = scored.select(F.col("feature").alias("model"), F.col("label").cast("int").alias("label"), F.col("proba").alias("score"))
     metrics = M.auc_metrics(long, ["model"]).withColumnRenamed("model", "feature")
-    return L.population_ablation(scored).join(metrics.drop("positives", "negatives"), "feature")
+    return L.population_ablation(scored).join(metrics.drop("positives", "negatives"), "feature").join(sizes, "feature")
 
 
 @query("l8_account_ablation")
 def l8(d):
-    model, cols = fitted(d, TABULAR, "_model_a")
-    names = [c for c in WEIGHTS if c in cols]
-    wanted = contributors(d).filter(F.col("feature").isin(names)).select("account_id", "feature")
+    """Scores of each account with each of its five strongest inputs at the median."""
+    model, cols = model_a(d)
+    wanted = strongest(d).select("account_id", "feature")
+    names = [r["feature"] for r in wanted.select("feature").distinct().collect()]  # at most the model's columns
     rows = labelled(d)
-    scored = materialize(L.ablate(model, rows, cols, names, L.medians(rows, names), ["account_id"]), "ablated")
+    scored = materialize(L.ablate_wanted(model, rows, cols, wanted, L.medians(rows, names) if names else {}), "ablated")
     return L.account_ablation(scored, wanted)
 
 
+@query("l9b_tree_contributors")
+def l9b(d):
+    """The five inputs that move each account's fitted score most."""
+    return strongest(d).select("account_id", "feature", "value", "place", "direction")
+
+
 @query("l9_top_contributors", "SELECT account_id, feature, value, CAST(place AS INTEGER) AS place, direction FROM contrib")
 def l9(d):
     return contributors(d).select("account_id", "feature", "value", "place", "direction")
@@ -160,7 +230,7 @@ def k8(d):
     sp = P.candidate_split(materialize(groups(d), "groups")).select("candidate_id", "split")
     rows = materialize(table.join(labels, "candidate_id").join(sp, "candidate_id"), "candidates")
     cols = [c for c in table.columns if c != "candidate_id"]
-    model = L.fit_account_model(rows.filter("split = 'train'"), cols, **QUICK)
+    model = L.fit_stopped(materialize(rows.filter("split <> 'test'").coalesce(FIT_PARTS), "fit-rows"), cols, **RING_TREES, key="candidate_id")
     scored = materialize(L.score(model, rows, cols, "ring_proba"), "ring-scores")
     val = scored.filter("split = 'val'").select(F.lit("ring").alias("model"), F.col("label").cast("int").alias("label"), F.col("ring_proba").alias("score"))
     best = M.best_threshold(val, ["model"], RING_GRID).first()
