@@ -23,17 +23,39 @@ def brute_pairs(events, window):
     return found
 
 
-@pytest.mark.parametrize("hot_rows", [3, 10_000])
-def test_close_pairs_match_brute_force(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("cell_rows", [3, 10_000])
+def test_close_pairs_match_brute_force(spark, cell_rows):
     rng = random.Random(7)
     # One key holds about a third of the rows.
     events = [(("hot" if rng.random() < 0.35 else f"k{rng.randrange(15)}"), rng.randrange(25), rng.randrange(-300, 300)) for _ in range(400)]
     df = spark.createDataFrame(events, "key STRING, id BIGINT, t BIGINT")
-    monkeypatch.setattr(bandjoin, "salted_sides", lambda l, r, k, s: skew.salted_sides(l, r, k, s, hot_rows))
-    got = {tuple(r) for r in bandjoin.close_pairs(df, ["key"], "id", "t", 20).distinct().collect()}
+    got = {tuple(r) for r in bandjoin.close_pairs(df, ["key"], "id", "t", 20, cell_rows).distinct().collect()}
     assert got == brute_pairs(events, 20)
 
 
+def test_grid_meets_each_pair_once_in_bounded_cells(spark):
+    """Half of all accounts on one entity."""
+    left = spark.createDataFrame([("hot" if k % 2 else f"k{k % 40}", k) for k in range(1200)] + [("left", -1), (None, -2)], "key STRING, a BIGINT").cache()
+    right = spark.createDataFrame([("hot" if k % 2 else f"k{k % 40}", k) for k in range(900)] + [("right", -1), (None, -2)], "key STRING, b BIGINT").cache()
+    l, r, on = skew.grid_sides(left, right, ["key"], "a", "b", 50)
+    met = l.join(r, on).select("key", "a", "b")
+    want = left.join(right, "key").select("key", "a", "b")
+    assert met.count() == want.count() == met.distinct().count() and met.exceptAll(want).isEmpty()
+    for side in (l, r):
+        assert side.groupBy(*on).count().agg(F.max("count")).first()[0] < 2 * 50
+    assert l.filter("key = 'hot'").count() == 600 * 9 and l.filter("key = 'k2'").count() == 30
+
+
+def test_crowded_entity_in_cells(spark, monkeypatch):
+    """Sharers of an entity that half of all accounts use, in cells of a few accounts."""
+    monkeypatch.setattr(identity, "CELL", 4)
+    orders = [(k, k % 60, 0 if k % 2 else k % 7 + 1, k % 9, f"p{k % 11}", k) for k in range(120)]
+    df = spark.createDataFrame(orders, "order_id INT, account_id INT, device_id INT, address_id INT, phone_hash STRING, instrument_id INT")
+    whole = rows(identity.sharing_features(identity.stored_links(df)))
+    monkeypatch.setattr(identity, "CELL", 10_000)
+    assert whole == rows(identity.sharing_features(identity.stored_links(df)))
+
+
 def test_window_is_inclusive(spark):
     df = spark.createDataFrame([("x", 1, 0), ("x", 2, 100), ("x", 3, 201)], "key STRING, id BIGINT, t BIGINT")
     got = {tuple(r)[1:] for r in bandjoin.close_pairs(df, ["key"], "id", "t", 100).collect()}

@@ -79,3 +79,36 @@ def test_louvain_finds_cliques(spark):
     assert sorted(set(labels.values())) == list(range(len(set(labels.values()))))
     alone = a.select("account_id", F.col("account_id").cast("bigint").alias("community_id"))
     assert communities.modularity(e, got).first()[0] > communities.modularity(e, alone).first()[0] + 0.5
+
+
+@pytest.mark.parametrize("cell_rows", [2, 8, 10_000])
+def test_triangles_around_a_hub(spark, cell_rows):
+    """A clique whose first vertex in (degree, id) order has the largest out-degree, and hubs beside it."""
+    rng = random.Random(2)
+    pairs = {(i, j) for j in range(30) for i in range(j)} | {(100, 101 + k) for k in range(40)} | {(101 + k, 102 + k) for k in range(0, 39, 2)}
+    pairs |= {tuple(sorted(rng.sample(range(200, 240), 2))) for _ in range(150)}
+    _, e = graph(spark, sorted(pairs))
+    got = {tuple(sorted(r[:3])) for r in graph_metrics.triangles(e, cell_rows).collect()}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {(a, b, c) for a, b in pairs for c in near[a] & near[b] if c > b}
+    assert got == want and graph_metrics.triangles(e, cell_rows).count() == len(want)
+
+
+def test_a_round_moves_ranks_only(spark):
+    """Three rounds over the dealt links: one exchange each, beside that of the first ranks."""
+    links = graph_metrics._dealt(spark.range(400).selectExpr("id AS src", "(id * 7) % 400 AS dst", "1D AS share"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranks = spark.range(400).selectExpr("id AS v", "1D AS r")
+        for _ in range(3):
+            ranks = graph_metrics._inflow(links, ranks).selectExpr("dst AS v", "inflow AS r")
+        text = ranks._sc._jvm.PythonSQLUtils.explainString(ranks._jdf.queryExecution(), "simple")
+        shown = [line for line in text.splitlines() if " Exchange hashpartitioning" in line and "REPARTITION" not in line]
+        assert len(shown) == 4 and ranks.agg(F.sum("r")).first()[0] == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        links.unpersist()

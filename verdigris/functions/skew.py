@@ -1,38 +1,37 @@
-"""Salting for self-joins on keys that may hold a large share of all rows."""
+"""Two-way grids for joins on keys that may hold a large share of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 20_000
+CELL_ROWS = 8_192
 
 
-def salted_sides(
-    left: DataFrame, right: DataFrame, keys: list[str], spread_on: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Give both sides a ``_salt`` column to add to an equi-join on ``keys``.
+def grid_sides(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, cell_rows: int = CELL_ROWS
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equi-join on ``keys``, cut for it, and the columns to join on.
 
-    ``left`` should be cheap to read twice (a stored table). Without any hot key the salt is 0.
-
-    Keys with more than ``hot_rows`` left rows are cut into slices on the left and copied
-    to every slice on the right. The list of such keys is joined like any table; it is a share
-    of 1 / ``hot_rows`` of the rows at most, and its measured size decides how.
+    The rows of a crowded key form a grid: left rows are cut into slices and copied to every
+    slice of the right, right rows likewise, so that no cell holds more than about
+    ``cell_rows`` of either side while each pair of rows meets in exactly one cell. Both sides
+    are read twice and should be stored tables; other keys stay whole. Crowded keys are at most
+    a share of 1 / ``cell_rows`` of the rows; they are joined like any table.
     """
-    hot = (
-        left.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_slices"))
-    )
-    if hot.isEmpty():
-        zero = F.lit(0).alias("_salt")
-        return left.select("*", zero), right.select("*", zero)
-    slices = F.coalesce(F.col("_slices"), F.lit(1))
-    l = left.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_on), slices).cast("int")
-    )
-    r = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), slices - 1))
+    slices = lambda df, name: (
+        df.groupBy(*keys).count().filter(F.col("count") > cell_rows)
+        .select(*keys, F.ceil(F.col("count") / F.lit(cell_rows)).cast("int").alias(name))
     )
-    return l.drop("_slices"), r.drop("_slices")
+    many_left, many_right = slices(left, "_rows"), slices(right, "_cols")
+    crowded = many_left.join(many_right, keys, "full")
+    on = [*keys, "_row", "_col"]
+    if crowded.isEmpty():
+        zero = [F.lit(0).alias("_row"), F.lit(0).alias("_col")]
+        return left.select("*", *zero), right.select("*", *zero), on
+    rows, cols = F.coalesce("_rows", F.lit(1)), F.coalesce("_cols", F.lit(1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    l = left.join(crowded, keys, "left").withColumn("_row", place(left_id, rows)).withColumn("_col", every(cols))
+    r = right.join(crowded, keys, "left").withColumn("_col", place(right_id, cols)).withColumn("_row", every(rows))
+    return l.drop("_rows", "_cols"), r.drop("_rows", "_cols"), on

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import address_text as A
 from verdigris.functions.exprs import non_null_array
-from verdigris.functions.skew import salted_sides
+from verdigris.functions.skew import grid_sides
 from verdigris.operators.address_dense import dense_matches
 from verdigris.session import materialize
 
@@ -173,8 +173,8 @@ def token_candidates(queries: DataFrame, records: DataFrame, text: str = "canoni
         .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rarest)
     )
     wanted = ranked.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    left, right = salted_sides(ranked.select("query_id", "token"), postings, ["token"], "query_id")
-    hits = left.join(right, ["token", "_salt"]).groupBy("query_id", "address_id").agg(F.count("*").alias("hits"))
+    left, right, on = grid_sides(ranked.select("query_id", "token"), postings, ["token"], "query_id", "address_id")
+    hits = left.join(right, on).groupBy("query_id", "address_id").agg(F.count("*").alias("hits"))
     hits = materialize(hits.join(wanted, "query_id"), "token-hits")
     full = hits.filter("hits = wanted").select("query_id").distinct()
     all_of = hits.filter("hits = wanted").select("query_id", "address_id", F.lit("token_intersection").alias("strategy"))

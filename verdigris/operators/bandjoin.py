@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.skew import salted_sides
+from verdigris.functions.skew import CELL_ROWS, grid_sides
 from verdigris.session import materialize
 
 
@@ -35,9 +35,12 @@ def time_cells(
 
 
 def close_pairs(
-    events: DataFrame, keys: list[str], id_col: str, time_us: str, window_us: int
+    events: DataFrame, keys: list[str], id_col: str, time_us: str, window_us: int, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """(keys, id_1 < id_2) for ids with two events at most ``window_us`` apart. May repeat."""
+    """(keys, id_1 < id_2) for ids with two events at most ``window_us`` apart. May repeat.
+
+    A crowded bucket is compared in a grid of cells of at most about ``cell_rows`` ids a side.
+    """
     cells = materialize(time_cells(events, keys, id_col, time_us, window_us), "cells")
     earlier = cells.select(*keys, "bucket", F.col("id").alias("a"), F.col("last_t").alias("a_last"))
     later = cells.select(
@@ -47,13 +50,13 @@ def close_pairs(
         F.explode(F.array(F.lit(0), F.lit(1))).alias("step"),
         F.col("bucket").alias("own_bucket"),
     ).select(*keys, (F.col("own_bucket") - F.col("step")).alias("bucket"), "b", "b_first", "step")
-    left, right = salted_sides(earlier, later, [*keys, "bucket"], "a")
+    left, right, on = grid_sides(earlier, later, [*keys, "bucket"], "a", "b", cell_rows)
     same = (F.col("step") == 0) & (F.col("a") < F.col("b"))
     next_door = (
         (F.col("step") == 1)
         & (F.col("a") != F.col("b"))
         & (F.col("b_first") - F.col("a_last") <= F.lit(window_us))
     )
-    return left.join(right, [*keys, "bucket", "_salt"]).filter(same | next_door).select(
+    return left.join(right, on).filter(same | next_door).select(
         *keys, F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")
     )

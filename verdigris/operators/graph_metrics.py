@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.constants import EDGE_WEIGHTS
+from verdigris.functions.skew import CELL_ROWS, grid_sides
 from verdigris.operators.components import account_components
 from verdigris.operators.edges import both_directions
 from verdigris.session import discard, materialize
@@ -32,6 +33,22 @@ def degree_metrics(accounts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(links: DataFrame) -> DataFrame:
+    """Links laid out by source once, as the rounds' sums are, so that a round moves ranks only.
+
+    They are kept beside the stored table; a lost executor reads its share of that again.
+    """
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = links.repartition(n, "src").persist()
+    dealt.count()  # a layout is used once it is there
+    return dealt
+
+
+def _inflow(links: DataFrame, ranks: DataFrame) -> DataFrame:
+    met = links.join(ranks, links["src"] == ranks["v"])
+    return met.groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("inflow"))
+
+
 def pagerank(
     accounts: DataFrame,
     edges: DataFrame,
@@ -50,21 +67,17 @@ def pagerank(
     n = accounts.count()
     sym = both_directions(edges).select("src", "dst", "weight")
     out_weight = sym.groupBy("src").agg(F.sum("weight").alias("out_weight"))
-    links = materialize(
+    links = _dealt(materialize(
         sym.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")),
         "pr-links",
-    )
+    ))
     nodes = materialize(out_weight.select(F.col("src").alias("v")), "pr-nodes")
     isolated = n - nodes.count()
     lone = 1.0 / n
     ranks, kept = nodes.withColumn("r", F.lit(1.0 / n)), None
     for turn in range(1, max_iter + 1):
         lone_next = (1.0 - alpha) / n + alpha * isolated * lone / n
-        inflow = (
-            links.join(ranks, links["src"] == ranks["v"])
-            .groupBy("dst")
-            .agg(F.sum(F.col("r") * F.col("share")).alias("inflow"))
-        )
+        inflow = _inflow(links, ranks)
         fresh = inflow.select(
             F.col("dst").alias("v"), (F.lit(lone_next) + F.lit(alpha) * F.col("inflow")).alias("r")
         )
@@ -88,6 +101,7 @@ def pagerank(
     else:
         if tol > 0:
             raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
+    links.unpersist()
     return (
         accounts.select("account_id")
         .join(ranks.withColumnRenamed("v", "account_id"), "account_id", "left")
@@ -114,7 +128,7 @@ def eigenvector_centrality(
     sym = both_directions(edges).select("src", "dst", "weight")
     nodes = materialize(sym.select(F.col("src").alias("v")).distinct(), "ev-nodes")
     loops = nodes.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight"))
-    links = materialize(sym.unionByName(loops), "ev-links")
+    links = _dealt(materialize(sym.unionByName(loops), "ev-links"))
     isolated = n - nodes.count()
 
     def grow(x: DataFrame) -> DataFrame:
@@ -142,6 +156,7 @@ def eigenvector_centrality(
         lone, turn = lone / new_len, turn + rounds
     if not done and not fixed:
         raise RuntimeError(f"eigenvector centrality did not converge in {max_iter} rounds")
+    links.unpersist()
     return (
         accounts.select("account_id")
         .join(x.withColumnRenamed("v", "account_id"), "account_id", "left")
@@ -149,11 +164,13 @@ def eigenvector_centrality(
     )
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+def triangles(edges: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Each triangle once: corners a, b, c and weights w_ab, w_ac, w_bc.
 
     Edges point from the lower (degree, id) end to the higher, which bounds every
-    out-degree by the square root of twice the edge count, so wedges stay bounded around hubs.
+    out-degree by the square root of twice the edge count. The wedges of a vertex with more
+    out-edges than ``cell_rows`` are dealt by the colors of their two other corners: a cell
+    holds the edges to one color beside those to another, so no task holds all of them.
     """
     degree = both_directions(edges).groupBy("src").agg(F.count("*").alias("deg"))
     d1 = degree.select(F.col("src").alias("account_id_1"), F.col("deg").alias("deg1"))
@@ -172,7 +189,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     ab = directed.select(F.col("s").alias("a"), F.col("t").alias("b"), F.col("t_deg").alias("b_deg"), F.col("weight").alias("w_ab"))
     ac = directed.select(F.col("s").alias("a"), F.col("t").alias("c"), F.col("t_deg").alias("c_deg"), F.col("weight").alias("w_ac"))
     bc = directed.select(F.col("s").alias("b"), F.col("t").alias("c"), F.col("weight").alias("w_bc"))
-    wedges = ab.join(ac, "a").filter(F.struct("b_deg", "b") < F.struct("c_deg", "c"))
+    left, right, on = grid_sides(ab, ac, ["a"], "b", "c", cell_rows)
+    wedges = left.join(right, on).filter(F.struct("b_deg", "b") < F.struct("c_deg", "c"))
     return wedges.join(bc, ["b", "c"]).select("a", "b", "c", "w_ab", "w_ac", "w_bc")
 
 

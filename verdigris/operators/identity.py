@@ -19,6 +19,7 @@ from verdigris.operators.bandjoin import close_pairs
 from verdigris.session import materialize
 
 HOT_ACCOUNTS = 10_000
+CELL = 1_024
 KINDS = list(ENTITY_SHORT.values())
 
 
@@ -81,11 +82,19 @@ def _hot_sets(sized: DataFrame, hot_accounts: int) -> DataFrame:
     )
 
 
+def _grid(quiet: DataFrame, mine: list[F.Column], other: list[F.Column]) -> DataFrame:
+    """All (a, b) of the users of each entity; entities of more than CELL users in cells of CELL x CELL."""
+    slices = F.ceil(F.col("users") / F.lit(CELL)).cast("int")
+    place = F.pmod(F.xxhash64("account_id"), slices).cast("int")
+    every = F.explode(F.sequence(F.lit(0), slices - 1))
+    left = quiet.select("kind", "entity", F.col("account_id").alias("a"), *mine, place.alias("row"), every.alias("col"))
+    right = quiet.select("kind", "entity", F.col("account_id").alias("b"), *other, place.alias("col"), every.alias("row"))
+    return left.join(right, ["kind", "entity", "row", "col"])
+
+
 def _pairs_without_hot(quiet: DataFrame) -> DataFrame:
-    mine = quiet.select("kind", "entity", F.col("account_id").alias("a"))
-    other = quiet.select("kind", "entity", F.col("account_id").alias("b"))
     return (
-        mine.join(other, ["kind", "entity"])
+        _grid(quiet, [], [])
         .filter(F.col("a") != F.col("b"))
         .groupBy("a", "b")
         .agg(*[F.max(F.col("kind") == k).alias(f"quiet_{k}") for k in KINDS])
@@ -100,13 +109,12 @@ def _quiet_pairs(sized: DataFrame, hot: DataFrame, hot_accounts: int) -> DataFra
     if hot is None:
         return _pairs_without_hot(quiet)
     quiet = quiet.join(hot, "account_id", "left").select(
-        "kind", "entity", "account_id",
+        "kind", "entity", "account_id", "users",
         *[F.coalesce(F.col(f"hot_{k}"), empty).alias(f"hot_{k}") for k in KINDS],
     )
-    mine = quiet.select("kind", "entity", F.col("account_id").alias("a"), *[F.col(f"hot_{k}").alias(f"a_{k}") for k in KINDS])
-    other = quiet.select("kind", "entity", F.col("account_id").alias("b"), *[F.col(f"hot_{k}").alias(f"b_{k}") for k in KINDS])
+    mine, other = ([F.col(f"hot_{k}").alias(f"{s}_{k}") for k in KINDS] for s in ("a", "b"))
     return (
-        mine.join(other, ["kind", "entity"])
+        _grid(quiet, mine, other)
         .filter(F.col("a") != F.col("b"))
         .groupBy("a", "b")
         .agg(
