@@ -31,6 +31,12 @@ BEHAVIOR_FACTS = [
     "total_orders", "return_rate", "refund_rate", "dispute_rate", "shared_device_count",
     "shared_ip_prefix_count", "community_size",
 ]
+# The observed facts of an account record.
+RECORD_FACTS = [
+    "total_orders", "total_amount", "total_refunds", "total_refund_amount", "return_rate", "refund_rate", "dispute_rate",
+    "shared_device_count", "shared_ip_prefix_count", "community_size", "total_returns",
+]
+MODEL_VERSION = "Ensemble_LGBM_B_GNN"
 
 
 # ------------------------------------------------------------------ ranking and actions
@@ -516,3 +522,21 @@ def account_360(queue: DataFrame, facts: DataFrame, evidence: DataFrame, links:
     for part in (f, e, g, top, pages):
         out = out.join(part, "account_id", "left")
     return out
+
+
+def account_record(
+    queue: DataFrame, facts: DataFrame, evidence: DataFrame, links: DataFrame, linked: DataFrame, contributors: DataFrame,
+    reports: DataFrame, model_version: str = MODEL_VERSION,
+) -> DataFrame:
+    """``account_360`` with the length of the queue, the model's version and the linked accounts.
+
+    ``linked`` is ``numbered_links``. One row per account and page; a page holds a page of the
+    report, of the links, or of both, so neither list grows beyond a page.
+    """
+    whole = account_360(queue, facts, evidence, links, contributors, reports.filter("page = 0")).drop("page", "case_report_text", "report_pages")
+    both = reports.select("account_id", "page", "case_report_text").join(link_pages(linked), ["account_id", "page"], "full")
+    total = queue.agg(F.count("*").alias("rank_total"))
+    return (
+        whole.join(both, "account_id", "left").crossJoin(F.broadcast(total))  # one row
+        .withColumn("model_version", F.lit(model_version))
+    )

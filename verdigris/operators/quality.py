@@ -67,36 +67,60 @@ def outside_domain(df: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     return df.agg(items.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def _keys_once(columns: list[tuple[DataFrame, list[tuple[str, str]]]]) -> DataFrame:
+    """(check_name, k, n): every key value of every check with its rows; one scan per table."""
+    parts = []
+    for df, named in columns:
+        items = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(c).cast("string").alias("k")) for n, c in named])
+        parts.append(df.select(F.explode(items).alias("x")).select("x.*"))
+    return _union(parts).groupBy("check_name", "k").agg(F.count("*").alias("n"))
+
+
+def _by_table(pairs: list[tuple[DataFrame, str, str]]) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
+    tables: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
+    for df, name, column in pairs:
+        tables.setdefault(id(df), (df, []))[1].append((name, column))
+    return list(tables.values())
+
+
 def orphan_rows(links: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """Rows whose key has no parent, one line per (name, child, key, parent, parent key).
 
-    Null keys count as orphans. Children are folded per key before the anti-join.
+    Null keys count as orphans. All keys of a table ride on one scan of it, folded per check
+    and value before one anti-join for all checks.
     """
-    parts = []
-    for name, child, key, parent, parent_key in links:
-        keys = child.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-        known = parent.select(F.col(parent_key).alias("k")).distinct()
-        parts.append(_one(name, keys.join(known, "k", "left_anti"), F.coalesce(F.sum("n"), F.lit(0))))
-    return _union(parts)
+    children = _keys_once(_by_table([(child, name, key) for name, child, key, _, _ in links]))
+    parents = _keys_once(_by_table([(parent, name, key) for name, _, _, parent, key in links])).select("check_name", "k")
+    lost = children.join(parents, ["check_name", "k"], "left_anti").groupBy("check_name").agg(F.sum("n").alias("violations"))
+    names = links[0][1].sparkSession.createDataFrame([(n,) for n, *_ in links], "check_name STRING")
+    return names.join(lost, "check_name", "left").select("check_name", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))
+
+
+def _lines(row: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """One line per check from one row of counts."""
+    items = F.array(*[F.struct(F.lit(n).alias("check_name"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("violations")) for n, c in checks.items()])
+    return row.select(F.explode(items).alias("x")).select("x.*")
 
 
 def flag_conflicts(orders: DataFrame, refunds: DataFrame, disputes: DataFrame) -> DataFrame:
-    """Rows that contradict their flags."""
-    flags = orders.select("order_id", "refund_flag", "dispute_flag")
+    """Rows that contradict their flags; one scan per table.
+
+    Refund and dispute rows are counted per order and meet the orders once.
+    """
+    marks = refunds.select("order_id", F.lit(1).alias("r"), F.lit(0).alias("s")).unionByName(
+        disputes.select("order_id", F.lit(0).alias("r"), F.lit(1).alias("s"))
+    ).groupBy("order_id").agg(F.sum("r").alias("refund_rows"), F.sum("s").alias("dispute_rows"))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    refunded = refunds.select("order_id").join(flags, "order_id")
-    disputed = disputes.select("order_id").join(flags, "order_id")
     status = F.col("delivery_status")
-    own = orders.agg(
+    row = orders.select("order_id", "refund_flag", "dispute_flag", "delivery_status", "rto_flag", "delivery_timestamp").join(marks, "order_id", "left").agg(
+        F.sum(F.when(no("refund_flag"), F.col("refund_rows"))).alias("refund"),
+        F.sum(F.when(no("dispute_flag"), F.col("dispute_rows"))).alias("dispute"),
         F.count_if((status == "failed") != F.col("rto_flag")).alias("rto"),
         F.count_if(status.isin("pending", "failed") & F.col("delivery_timestamp").isNotNull()).alias("early"),
     )
-    return _union([
-        _one("refund_without_flag", refunded, F.count_if(no("refund_flag"))),
-        _one("dispute_without_flag", disputed, F.count_if(no("dispute_flag"))),
-        own.select(F.lit("rto_flag_mismatch").alias("check_name"), F.col("rto").alias("violations")),
-        own.select(F.lit("undelivered_with_time").alias("check_name"), F.col("early").alias("violations")),
-    ])
+    return _lines(row, {
+        "refund_without_flag": "refund", "dispute_without_flag": "dispute", "rto_flag_mismatch": "rto", "undelivered_with_time": "early",
+    })
 
 
 def time_conflicts(accounts: DataFrame, orders: DataFrame, disputes: DataFrame) -> DataFrame:

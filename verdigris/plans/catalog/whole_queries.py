@@ -3,13 +3,17 @@
 from pyspark.sql import functions as F
 
 from verdigris.functions.exprs import nonblank
+from verdigris.operators import cleansing as C
 from verdigris.operators import evaluation as M
 from verdigris.operators import graph_metrics as G
+from verdigris.operators import investigation as N
 from verdigris.operators import quality as Q
 from verdigris.operators import splits as P
 from verdigris.operators.cleansing import numeric_columns
-from verdigris.plans.catalog.base_queries import pre_orders
-from verdigris.plans.catalog.graph_queries import edges, stored_features
+from verdigris.operators.community_features import community_features
+from verdigris.plans.catalog.base_queries import pre_disputes, pre_orders, rounded
+from verdigris.plans.catalog.case_queries import contributors, links, queue, reports
+from verdigris.plans.catalog.graph_queries import _COMM_SQL, edges, stored_features
 from verdigris.plans.catalog.model_queries import signals, split
 from verdigris.plans.catalog.prelude import CUT, PRELUDE
 from verdigris.plans.catalog.quality_queries import used
@@ -102,7 +106,18 @@ def entities(d):
     }
 
 
-# Columns by table (reference validate.py); False where the derived tables lack one.
+# Systems of the devices: one in seven is outside the domain, one in 29 is unknown.
+_SYSTEMS = ["Android", "iOS", "Windows", "macOS", "Linux", "Android", "Tizen"]
+PRELUDE["fx_device_systems"] = f"SELECT device_id, CASE WHEN device_id % 29 <> 3 THEN {_SYSTEMS}[CAST(device_id % 7 AS INTEGER) + 1] END AS os_family FROM fx_devices"
+
+
+def device_systems(d):
+    names = F.array(*[F.lit(s) for s in _SYSTEMS])
+    system = F.element_at(names, (F.col("device_id") % 7 + 1).cast("int"))
+    return d.devices.select("device_id", F.when(F.col("device_id") % 29 != 3, system).alias("os_family"))
+
+
+# Columns by table; False where the derived tables lack one.
 _TABLES = {
     "accounts": ("fx_accounts", {"account_id": True, "account_created_at": True, "customer_type": True}),
     "devices": ("fx_devices", {"device_id": True, "os_family": False, "browser_family": False, "ip_prefix": True, "first_seen_at": True}),
@@ -125,12 +140,14 @@ def q1_all(d):
 
 
 @query("q5_domains_all", """
-SELECT 'customer_type' AS column_name, count(*) FILTER (customer_type IS NULL OR customer_type NOT IN ('regular', 'new', 'guest')) AS outside FROM fx_accounts
+SELECT 'os_family' AS column_name, count(*) FILTER (os_family IS NULL OR os_family NOT IN ('Android', 'iOS', 'Windows', 'macOS', 'Linux')) AS outside FROM fx_device_systems
+UNION ALL SELECT 'customer_type' AS column_name, count(*) FILTER (customer_type IS NULL OR customer_type NOT IN ('regular', 'new', 'guest')) AS outside FROM fx_accounts
 UNION ALL SELECT 'instrument_type', count(*) FILTER (instrument_type IS NULL OR instrument_type NOT IN ('card', 'upi', 'netbanking', 'wallet')) FROM fx_instruments""")
 def q5_all(d):
-    """Domains of all tables that have the column; os_family is absent from the data (q1 reports it)."""
+    """Domains of accounts, instruments and devices."""
     types = Q.outside_domain(d.accounts, {"customer_type": ["regular", "new", "guest"]})
-    return types.unionByName(Q.outside_domain(entities(d)["instruments"], {"instrument_type": ["card", "upi", "netbanking", "wallet"]}))
+    systems = Q.outside_domain(device_systems(d), {"os_family": ["Android", "iOS", "Windows", "macOS", "Linux"]})
+    return types.unionByName(systems).unionByName(Q.outside_domain(entities(d)["instruments"], {"instrument_type": ["card", "upi", "netbanking", "wallet"]}))
 
 
 _KEYS = [
@@ -169,3 +186,51 @@ def q13_all(d):
     coupons = pre_orders(d).filter(nonblank("coupon_code"))
     both = used(d, ["orders", "devices"]).unionByName(late)
     return Q.graph_leakage_report(both, whole_matrix(d), d.accounts, edges(d), coupons, CUTOFF).drop("matrix_columns")
+
+
+_ENTITY_TABLES = {"addresses": "fx_order_addresses", "phones": "fx_phones", "payment_instruments": "fx_instruments"}
+
+
+@query("f1b_entity_cutoff", f"""
+SELECT 'devices' AS table_name, count(*) AS n, max(first_seen_at) AS latest FROM pre_devices UNION ALL """ + " UNION ALL ".join(
+    f"SELECT '{n}', count(*), max(first_seen_at) FROM {t} WHERE first_seen_at <= {CUT}" for n, t in _ENTITY_TABLES.items()))
+def f1b(d):
+    """Every entity table as it was at the cutoff."""
+    own = entities(d)
+    tables = {"devices": d.devices, "addresses": own["addresses"], "phones": own["phones"], "payment_instruments": own["instruments"]}
+    parts = [df.agg(F.lit(n).alias("table_name"), F.count("*").alias("n"), F.max(C.CUTOFF_COLUMN[n]).alias("latest")) for n, df in C.filter_tables(tables, CUTOFF).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_MONEY = ["total_amount", "total_refund_amount"]
+
+
+@query("n19b_account_record", f"""
+WITH pg AS (SELECT account_id, 0::INTEGER AS page, case_report_text FROM reports),
+lp AS (SELECT account_id, CAST((link_no - 1) // {N.PAGE_LINKS} AS INTEGER) AS page, string_agg(link_text, ' | ' ORDER BY link_no) AS linked_accounts FROM linktext GROUP BY 1, 2),
+pages AS (SELECT account_id, page, case_report_text, linked_accounts FROM pg FULL JOIN lp USING (account_id, page))
+SELECT q.account_id, rank, (SELECT count(*) FROM queue) AS rank_total, '{N.MODEL_VERSION}' AS model_version, round(proba, 9) AS proba, risk_tier, recommended_action,
+  {", ".join(f"round(f.{c}::DOUBLE, 2) AS {c}" if c in _MONEY else f"round(f.{c}::DOUBLE, 9) AS {c}" if c.endswith("_rate") else f"f.{c}" for c in N.RECORD_FACTS if c != "community_size")}, k.community_size,
+  has_dispute_at_cutoff, missing_evidence_count, total_graph_links, strongest_edge_type, round(strongest_edge_weight, 9) AS strongest_edge_weight, number_of_device_links, number_of_ip_links, number_of_coupon_links,
+  (SELECT string_agg(feature || ':' || direction, ',' ORDER BY place) FROM contrib c WHERE c.account_id = q.account_id) AS contributors, page, case_report_text, linked_accounts
+FROM queue q JOIN features f USING (account_id) JOIN (SELECT account_id, community_size FROM ({_COMM_SQL})) k USING (account_id)
+JOIN evidence USING (account_id) JOIN gevidence USING (account_id) JOIN pages USING (account_id)""")
+def n19b(d):
+    """The whole record of every queued account."""
+    f = stored_features(d)
+    facts = f.join(community_features(f, d.communities).select("account_id", "community_size"), "account_id").select("account_id", *N.RECORD_FACTS)
+    record = N.account_record(
+        queue(d), facts, N.evidence_gap(queue(d), pre_disputes(d)), N.graph_evidence(queue(d), edges(d)), links(d), contributors(d), reports(d)
+    )
+    flat = record.select(
+        "account_id", "rank", "rank_total", "model_version", "proba", "risk_tier", "recommended_action", "observed_facts.*",
+        "evidence_status.has_dispute_at_cutoff", "evidence_status.missing_evidence_count", "graph_evidence.*",
+        F.array_join(F.transform("contributors", lambda x: F.concat(x["feature"], F.lit(":"), x["direction"])), ",").alias("contributors"),
+        "page", "case_report_text", "linked_accounts",
+    )
+    for c in _MONEY:
+        flat = flat.withColumn(c, F.round(c, 2))
+    return rounded(flat, ["proba", "return_rate", "refund_rate", "dispute_rate", "strongest_edge_weight"])
