@@ -13,6 +13,7 @@ from verdigris.plans.catalog.registry import query
 from verdigris.plans.feature_plan import feature_matrix
 from verdigris.session import scratch_path
 from verdigris.sources import schemas, tables
+from verdigris.sources.versioned import VersionedTable
 from verdigris.sources.fixtures import CUTOFF
 
 
@@ -146,19 +147,20 @@ UNION ALL SELECT event_id, account_id, 'investigated' FROM fx_audit WHERE error
 def s8(d):
     old = d.audit.select("event_id", "account_id")
     new = d.audit.filter("error IS NOT NULL").select("event_id", "account_id", F.lit("investigated").alias("note"))
-    path = scratch_path(d.spark, "audit")
-    tables.append_widening(old, new).write.parquet(path)
-    return d.spark.read.parquet(path)
+    table = VersionedTable(d.spark, scratch_path(d.spark, "audit"))
+    table.append(old)
+    table.append(new)
+    return table.read()
 
 
 @query("s9_truncate_keep_schema", """
 SELECT c AS column_name, count(*) AS rows_before, 0::BIGINT AS rows_after FROM fx_audit, (VALUES ('account_id'), ('rank'), ('risk_tier')) AS v(c) GROUP BY 1""")
 def s9(d):
-    path = scratch_path(d.spark, "audit-empty")
-    d.audit.select("account_id", "rank", "risk_tier").write.parquet(path)
-    before = d.spark.read.parquet(path).count()
-    tables.truncate_table(d.spark, path)
-    left = d.spark.read.parquet(path)
+    table = VersionedTable(d.spark, scratch_path(d.spark, "audit-empty"))
+    table.append(d.audit.select("account_id", "rank", "risk_tier"))
+    before = table.read().count()
+    table.truncate()
+    left = table.read()
     names = F.explode(F.array(*[F.lit(c) for c in left.columns])).alias("column_name")
     return left.agg(F.count("*").alias("rows_after")).select(names, F.lit(before).cast("bigint").alias("rows_before"), "rows_after")
 
