@@ -14,7 +14,8 @@ from verdigris.llm import toxicity
 from verdigris.llm.embedding_dups import near_duplicates, table_shape
 from verdigris.llm.jaccard_join import one_of_each, similar_components
 from verdigris.llm.mixing import mix, mixed_documents, taken_words
-from verdigris.llm.packing import pack, plan_packing
+from verdigris.llm.bpe_transducer import transducer
+from verdigris.llm.packing import _best_fit, pack, plan_packing, solve_fractional
 from verdigris.llm.queries import PAGE_RULES, vocabulary
 from verdigris.llm.sharding import permuted, shard_rows, sides
 from verdigris.llm.substring_dedup import repeat_report, without_repeats
@@ -464,6 +465,32 @@ def test_plan_holds_every_piece():
         assert sum(t for _, t in plan) <= max(bound, sum(v for k, v in hist.items() if k > cap // 2)) * 1.06 + 2
 
 
+def test_program_is_solved():
+    """Never above best fit, close to the bound on documents, every length covered exactly, no pattern too long."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    n = transducer(vocabulary()).counts([t or "" for t in texts]) + 1
+    tokens = Counter(int(min(2048, k - s)) for k in n for s in range(0, int(k), 2048))
+    rng = np.random.default_rng(5)
+    made = [rng.integers(*r) for r in ((600, 800, 3000), (900, 1150, 3000), (1, 2049, 3000), (400, 700, 1000))]
+    for histogram in (dict(tokens), *[Counter(m.tolist()) for m in made], {2048: 3}, {1: 5}):
+        lengths = np.array(sorted(histogram))
+        counts = np.array([histogram[int(k)] for k in lengths], float)
+        used, value, bound = solve_fractional(lengths, counts, 2048)
+        best_fit = sum(t for _, t in _best_fit(dict(histogram), 2048))
+        assert bound <= value + 1e-6 <= best_fit + 2e-6
+        covered = Counter()
+        for pattern, amount in used.items():
+            assert sum(a * c for a, c in pattern) <= 2048 and amount > 0
+            for a, c in pattern:
+                covered[a] += c * amount
+        assert all(abs(covered[int(k)] - c) < 2e-3 * max(1, c) for k, c in zip(lengths, counts))
+        assert sum(t for _, t in plan_packing(dict(histogram), 2048)) <= best_fit
+        if histogram == tokens:
+            assert value <= bound * 1.001 and sum(t for _, t in plan_packing(dict(histogram), 2048)) == -(-int(n.sum()) // 2048)
+
+
 def test_packing(docs, empty):
     lib = library()
     got = pack(docs, vocabulary()).collect()

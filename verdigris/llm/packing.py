@@ -3,9 +3,9 @@
 Documents longer than a sequence are cut; everything then depends only on the histogram of
 piece lengths (at most ``capacity`` numbers). The configuration program over that histogram,
 minimize the number of sequences such that the chosen patterns hold every piece, is solved by
-multiplicative weights: a dynamic program over the capacity prices, for every length, the best
-pattern that holds it; each round adds those patterns and lowers the weight of what they
-cover. Whole parts of the fullest patterns become patterns with counts and what is left is
+multiplicative weights to a bounded gap: a dynamic program over the capacity prices, for every
+length, the best pattern that holds it; each round adds those patterns and lowers the weight of
+what they cover (``solve_fractional``). Whole parts of the fullest patterns become patterns with counts and what is left is
 placed best fit, longest first, still in counts; of several such roundings the one that needs
 the fewest sequences is kept. The plan's size depends on the capacity, not on the number of
 documents.
@@ -31,7 +31,7 @@ from verdigris.llm.bpe_transducer import transducer
 from verdigris.llm.words import slices
 from verdigris.session import materialize
 
-ROUNDS, STEP = 12, 0.35
+ROUNDS, STEP, LONG, PASSES, PARTS, SCALE, GAP, TINY = 24, 0.1, 0.05, 3, 8, 4096, 1e-3, 1e-9
 SLACK, SHARES = (0.0, 0.05), (100, 90, 75, 50, 25, 10)  # roundings that are tried: least fill, percent of the whole patterns
 
 
@@ -88,37 +88,92 @@ def _best_patterns(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tup
     return value, last
 
 
-def _pattern(last: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0 and last[room] != -1:
-        if last[room] == -2:
-            room -= 1
-            continue
+def _pattern(last: np.ndarray, step: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    out, room = [], int(step[room])
+    while room > 0:
         out.append(int(last[room]))
-        room -= int(lengths[last[room]])
+        room = int(step[room - int(lengths[last[room]])])
+    return out
+
+
+def _cover_rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], float]]:
+    """Patterns (place, copies) with amounts that cover what is left: best fit in parts of 1 / SCALE."""
+    place = {int(n): k for k, n in enumerate(lengths)}
+    parts = np.ceil(left * SCALE - 1e-6).astype(np.int64)
+    out = []
+    for pattern, times in _best_fit({int(n): int(c) for n, c in zip(lengths, parts) if c > 0}, capacity):
+        merged: Counter = Counter()
+        for n, a in pattern:
+            merged[place[n]] += a
+        out.append((list(merged.items()), times / SCALE))
     return out
 
 
-def solve_fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Patterns (sorted (length, copies) pairs) and how often each is used, by multiplicative weights."""
+def _one_pass(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, base: np.ndarray
+) -> tuple[list[dict[tuple, float]], float, np.ndarray]:
+    """Solutions by the part of the rounds they take, a lower bound, and what all rounds leave open of each length."""
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
-    for n in range(rounds):
-        worth = lengths * (1 + 0.01 * lengths / capacity) * np.exp(-STEP * (covered / counts) * rounds / (n + 1))
-        _, last = _best_patterns(lengths, worth, capacity)
-        gain = np.zeros(len(lengths))
-        for k in range(len(lengths)):
-            if covered[k] + gain[k] >= counts[k] * (n + 1) / rounds:
+    bound, found = 0.0, []
+
+    def put(into: dict[tuple, float], pattern: list[tuple[int, int]], amount: float) -> None:
+        key = tuple((int(lengths[j]), a) for j, a in sorted(pattern))
+        into[key] = into.get(key, 0.0) + amount
+
+    for n in range(rounds + 1):
+        if n * PARTS % rounds == 0:  # the rest is covered by best fit from here
+            done = dict(used)
+            for pattern, amount in _cover_rest(lengths, counts - covered, capacity):
+                put(done, pattern, amount)
+            found.append(done)
+        goal = counts * ((n + 1) / rounds)
+        active = np.flatnonzero(counts - covered > TINY)
+        if n == rounds or not len(active):
+            break
+        short = lengths[active]
+        price = base[active] * short / capacity * (1 + LONG * short / capacity) * np.exp(-STEP * ((covered - goal) / counts)[active] * rounds)
+        value, last = _best_patterns(short, price, capacity)
+        bound = max(bound, float((counts[active] * price).sum() / value[capacity]))
+        step = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+        for at in range(len(active) - 1, -1, -1):
+            k = active[at]
+            if covered[k] >= goal[k] - TINY:
                 continue  # other patterns of this round hold enough of it
-            pattern = Counter([k, *_pattern(last, lengths, capacity - int(lengths[k]))])
-            amount = max(0.0, counts[k] * (n + 1) / rounds - covered[k] - gain[k]) / pattern[k]
-            amount = min(amount, *[max(counts[j] - covered[j] - gain[j], counts[j] / rounds) / a for j, a in pattern.items()])
-            key = tuple(sorted((int(lengths[j]), a) for j, a in pattern.items()))
-            used[key] = used.get(key, 0.0) + amount
-            for j, a in pattern.items():
-                gain[j] += a * amount
-        covered += gain
-    return used
+            pattern = [(int(active[j]), a) for j, a in Counter([at, *_pattern(last, step, short, capacity - int(short[at]))]).items()]
+            own = dict(pattern)[int(k)]
+            amount = min((goal[k] - covered[k]) / own, *[(counts[j] - covered[j]) / a for j, a in pattern])
+            if amount > TINY:
+                put(used, pattern, amount)
+                for j, a in pattern:
+                    covered[j] = min(counts[j], covered[j] + a * amount)
+    return found, bound, (counts - covered) / counts
+
+
+def solve_fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float, float]:
+    """Patterns (sorted (length, copies) pairs) and how often each is used; their sum; a lower bound of any solution.
+
+    Multiplicative weights: a length's price is its share of the capacity, times exp(STEP) to the
+    power of the rounds it lags behind its goal. The knapsack gives the best pattern of the
+    prices, and with it for each length the best one that holds it. A round raises every
+    length's coverage to its goal with those patterns, and never covers a length more than in
+    full. Prices over the worth of the best pattern are a dual solution, so each round also
+    bounds the program from below. What the rounds leave open is covered by best fit in small
+    parts, after all of them or after a part of them, and another pass starts from prices raised
+    by it, until one is within GAP of the bound. Of the solutions that need no more whole
+    sequences than best fit alone, the one with the most rounds is kept.
+    """
+    bound = max(float((lengths * counts).sum()) / capacity, float(counts[2 * lengths > capacity].sum()))
+    base, found, alone = np.ones(len(lengths)), [], 0.0
+    for _ in range(PASSES):
+        more, below, left = _one_pass(lengths, counts, capacity, rounds, base)
+        found += [(sum(f.values()), -n, f) for n, f in enumerate(more)]
+        bound, alone, base = max(bound, below), sum(more[0].values()), base * np.exp(left)
+        if found[-1][0] <= bound * (1 + GAP):
+            break
+    good = [f for f in found if f[0] <= np.ceil(alone - 1e-6)]
+    value, _, best = min(good, key=lambda f: (f[1], f[0]))
+    return best, value, bound
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
@@ -164,7 +219,7 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple,
     if not left:
         return []
     lengths = np.array(sorted(left), np.int64)
-    used = solve_fractional(lengths, np.array([left[int(k)] for k in lengths], float), capacity)
+    used, _, _ = solve_fractional(lengths, np.array([left[int(k)] for k in lengths], float), capacity)
     filled = {p: sum(n * a for n, a in p) for p in used}
     fullest = max(filled.values())
     best: list[tuple[tuple, int]] | None = None
@@ -226,13 +281,14 @@ def pack(
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     A document is its ids and ``end_id``; a null text is empty and so one token. Pieces of a
-    sequence lie without gaps from offset 0 and never exceed ``capacity``. Repeated rows are
+    sequence lie without gaps from offset 0 and never exceed ``capacity``. Pieces of one length
+    take their places in the order of the stored table, so a mix keeps its order. Repeated rows are
     packed each; an empty table gives an empty table; other columns are ignored.
     """
     pieces = materialize(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     placer = _Placer(plan_packing(histogram, capacity))
-    rows = ranked(pieces, [F.col("id").asc(), F.col("rid").asc(), F.col("piece").asc()], group=["length"])
+    rows = ranked(pieces, [F.col("rid").asc(), F.col("piece").asc()], group=["length"])  # in the order of the input
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
