@@ -534,3 +534,35 @@ def test_top_k(vectors, monkeypatch):
     got = top_k(vectors, every=5)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
     assert top_k(vectors.limit(0)).count() == 0
+
+
+def test_long_vectors_have_a_defined_result(spark, tmp_path):
+    big = 8.0e6  # with a second one, a length of 2.9e9
+    rows = [(0, [big, -big]), (1, [big, big]), (2, [1.0, 0.5]), (50, [-big, 1.0]), (3, [1e300, 0.0]), (4, [1.3e7, 0.0])]
+    path = str(tmp_path / "v.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i not in (3, 4)}  # too long for 64-bit scores
+    want = []
+    for q in (0, 50):
+        scores = sorted(((sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q), key=lambda t: (-t[0], t[1]))
+        want += [(q, n + 1, i, s) for n, (s, i) in enumerate(scores[:5])]
+    assert sorted(tuple(r) for r in top_k(spark.read.parquet(path)).collect()) == sorted(want)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Operators that had no such test: nothing in, nothing out; inner names as columns do no harm."""
+    from verdigris.llm.url_filter import judge_urls as judge
+
+    made = {}
+    for name, schema in {
+        "docs": "doc_id long, text string, source string, rid long, size long, key long, _rid string, `check` int, cell int",
+        "vectors": "vec_id long, embedding array<double>, rid long, code int", "pages": "page_id long, url string, host string, rule string",
+    }.items():
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(path)
+        made[name] = spark.read.parquet(path)
+    assert token_counts(made["docs"], vocabulary()).collect() == []
+    assert without_repeats(made["docs"]).columns == made["docs"].columns and without_repeats(made["docs"]).count() == 0
+    assert one_of_each(made["docs"]).count() == 0 and mixed_documents(made["docs"]).count() == 0
+    assert near_duplicates(made["vectors"]).collect() == [] and top_k(made["vectors"]).collect() == []
+    assert judge(made["pages"], PAGE_RULES).columns == ["page_id", "host", "path", "rule", "verdict"] and judge(made["pages"], PAGE_RULES).count() == 0

@@ -22,24 +22,31 @@ from verdigris.llm.sharding import numbered
 from verdigris.session import materialize
 
 BUCKET, BLOCK = 2048, 256
+LONGEST = 3.03e9  # a score is at most the product of two lengths, which stays below 2**63
 STEEP = 0.7
 FOCUS = 3
 
 
 def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, ints, norm): floor(scale * x) of every usable vector, and its length."""
+    """(id, ints, norm): floor(scale * x) of every usable vector, and its length.
+
+    Vectors of length LONGEST or more are left out: two of them can have a score beyond 64 bits.
+    """
     narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, good = good_vectors(b.column(1))
-            ints, norms = [], []
+            ints, norms, short = [], [], []
             for x in good:
-                q = np.floor(scale * x.astype(np.float64))
-                if len(q) and np.abs(q).max() >= 2.0**31:
-                    raise ValueError("a component is too large for 64-bit scores")
-                ints.append(q.astype("<i8").tobytes())
-                norms.append(float(np.sqrt((q * q).sum())))
+                with np.errstate(over="ignore"):
+                    q = np.floor(scale * x.astype(np.float64))
+                    length = float(np.sqrt((q * q).sum()))
+                short.append(length < LONGEST)
+                if short[-1]:
+                    ints.append(q.astype("<i8").tobytes())
+                    norms.append(length)
+            keep[keep] = short
             ids = b.column(0).filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([ids, pa.array(ints, pa.binary()), pa.array(norms, pa.float64())], ["id", "ints", "norm"])
 
@@ -51,12 +58,10 @@ def _padded(values: list[bytes], width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where all sums stay below 2**53."""
+    """Exact integer products: in doubles where all sums stay below 2**53, else modulo 2**64, which a score fits."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if top >= 2.0**63:
-        raise ValueError("scores leave the 64-bit range")
     return a @ b.T
 
 
@@ -67,7 +72,8 @@ def top_k(
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the
     query's own. Ties go to the smaller id (null last); fewer candidates give fewer rows. Null
-    vectors and vectors with null or non-finite components take no part; a shorter vector
+    vectors and vectors with null or non-finite components take no part, nor do those whose
+    quantized length is LONGEST or more (one component of some 11.8 million); a shorter vector
     counts as padded with zeros. Repeated rows are candidates and queries of their own. An
     empty table gives an empty table; other columns are ignored.
     """

@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 
 from verdigris.llm.arrow import arrow_map
 
-MAX_RULE_BYTES = 1 << 30
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_WHAT = np.dtype([("digest", "<u8"), ("start", "<i8"), ("size", "<i4"), ("block", "<i4")])
+_WHAT = np.dtype([("start", "<i8"), ("size", "<i4"), ("block", "<i4")])
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,19 +35,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def write_rules(rules: list[tuple[str, str, str]], folder: str) -> str:
-    """Store (verdict, host, path) rules as digest records sorted by digest, then the strings."""
+    """Store (verdict, host, path) rules: digests in order, what belongs to each, the strings."""
     keys = [(h.translate(_LOWER) + p).encode() for _, h, p in rules]
-    if sum(map(len, keys)) > MAX_RULE_BYTES:
-        raise ValueError("the rule strings exceed what each worker may map")
     records = np.zeros(len(rules), _WHAT)
     sizes = np.array([len(k) for k in keys], np.int64)
-    records["digest"] = [xxhash.xxh64_intdigest(k) for k in keys]
+    digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], "<u8")
     records["start"], records["size"] = np.cumsum(sizes) - sizes, sizes
     records["block"] = [v == "block" for v, _, _ in rules]
-    order = np.argsort(records["digest"], kind="stable")
+    order = np.argsort(digests, kind="stable")
     path = os.path.join(folder, f"rules-{xxhash.xxh64_hexdigest(b'|'.join(keys) + records.tobytes())}.bin")
     with open(path, "wb") as f:
         f.write(np.int64(len(rules)).tobytes())
+        f.write(digests[order].tobytes())
         f.write(records[order].tobytes())
         f.write(b"".join(keys))
     return path
@@ -60,9 +58,9 @@ class RuleArray:
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
         n = int(raw[:8].view(np.int64)[0])
-        self.records = raw[8 : 8 + n * _WHAT.itemsize].view(_WHAT)
-        self.strings = raw[8 + n * _WHAT.itemsize :]
-        self.digests = np.ascontiguousarray(self.records["digest"])
+        self.digests = raw[8 : 8 + 8 * n].view("<u8")  # read through the map, shared by all workers of a machine
+        self.records = raw[8 + 8 * n : 8 + (8 + _WHAT.itemsize) * n].view(_WHAT)
+        self.strings = raw[8 + (8 + _WHAT.itemsize) * n :]
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """Record of each key, -1 where no stored string equals it."""
