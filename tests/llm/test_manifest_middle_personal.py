@@ -92,9 +92,8 @@ def manifest_rows():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [merkle.CROWD, 4])
-def test_manifest(spark, tmp_path_factory, monkeypatch, crowd):
-    monkeypatch.setattr(merkle, "CROWD", crowd)  # 4: nearly every bucket is cut into slices
+def test_manifest(spark, tmp_path_factory, monkeypatch):
+    monkeypatch.setattr(merkle, "CROWD", 4)  # nearly every bucket is cut into slices
     rows = manifest_rows()
     docs = stored(spark, tmp_path_factory, [r + EXTRA for r in rows], SCHEMA)
     got = [tuple(r) for r in document_manifest(docs).collect()]
@@ -110,16 +109,16 @@ def test_manifest_small(spark, tmp_path_factory):
     got = document_manifest(docs).collect()
     assert [tuple(r) for r in got] == brute_manifest(one)
     assert got[0].leaf == got[0].root and got[0].proof_sha256 == sha("")
-    same = [(k, "s", "en", 3, "abc") for k in range(257)]  # one full tree of two levels and one more leaf
-    docs = stored(spark, tmp_path_factory, [r + EXTRA for r in same], SCHEMA)
-    assert sorted((tuple(r) for r in document_manifest(docs).collect()), key=str) == brute_manifest(same)
 
 
 def test_manifest_path(spark, tmp_path_factory):
-    docs = stored(spark, tmp_path_factory, [(k, f"s{k % 3}", "en", k, f"t{k}") + EXTRA for k in range(60)], SCHEMA)
-    rows = manifest(docs, F.sha2("text", 256), F.col("source"), F.col("doc_id"), {"kept": F.col("text")})
-    done = rows.select("id", "kept", (folded(F.col("leaf"), F.col("path")) == F.col("root")).alias("same")).collect()
-    assert len(done) == 60 and all(r.same and r.kept == f"t{r.id}" for r in done)
+    """One full tree of two levels and one more leaf, without any crowded bucket."""
+    rows = [(k, "s" if k < 257 else "t", "en", 3, f"t{k}") for k in range(260)]
+    docs = stored(spark, tmp_path_factory, [r + EXTRA for r in rows], SCHEMA)
+    made = manifest(docs, merkle.digest_of(*map(F.col, ("doc_id", "source", "lang", "n_chars", "text"))), F.col("source"), F.col("doc_id"), {"kept": F.col("text")})
+    done = made.select("id", "kept", "leaf", "subroot", "root", (folded(F.col("leaf"), F.col("path")) == F.col("root")).alias("same")).collect()
+    assert all(r.same and r.kept == f"t{r.id}" for r in done)
+    assert sorted((r.id, r.leaf, r.subroot, r.root) for r in done) == sorted(b[:4] for b in brute_manifest(rows))
 
 
 def test_bitmaps():

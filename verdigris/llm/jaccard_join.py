@@ -391,7 +391,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """The rows of ``docs`` that stay: one per component, the first stored row of its smallest id.
 
     Ids need not be distinct or set: components that share an id keep a row each, null ids come
-    last. Rows without shingles all stay.
+    last. Rows without shingles (null texts, texts without words) all stay. An empty table gives
+    an empty table; all columns come back whatever their names.
     """
     found = keyed_components(docs, size, percent, id_col, text_col)
     mine = found.select("rid", F.col(id_col).alias("id"), "component")

@@ -145,8 +145,10 @@ def mixed_documents(
 
     A document that a pass takes whole keeps its text; one at the end of its source's share
     keeps the words taken, up to the end of the last one. Rows come in the order of the mix: by
-    the first slot that takes from the document, then by place in it. ``docs`` must be a stored
-    table.
+    the first slot that takes from the document, then by place in it. Null texts and texts
+    without words are never taken, null sources are one source, repeated rows are documents of
+    their own; an empty table gives an empty one, and clashing column names do no harm.
+    ``docs`` must be a stored table.
     """
     parts, _ = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     taken = parts.groupBy("rid", "epoch").agg(

@@ -255,7 +255,12 @@ def repeat_report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 
 
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in all their columns; texts that lose words keep the others, joined by one space."""
+    """The rows of ``docs`` in all their columns; texts that lose words keep the others, joined by one space.
+
+    What goes is what ``repeat_report`` counts. Texts that lose nothing come back unchanged, null
+    texts as null, a text that loses all its words as an empty one; of repeated rows the first
+    keeps its words. An empty table gives an empty table.
+    """
     _, losing = repeated_words(docs, window, id_col, text_col)
     row, new_text = fresh("_rid", docs.columns), fresh("_text", docs.columns)
 
