@@ -321,13 +321,16 @@ def matrix(d):
     return d._matrix
 
 
-@query("h5_graph_matrix", f"""WITH {CC_SQL}
+H5_SQL = f"""WITH {CC_SQL}
 SELECT f.* REPLACE ({sql_round(*FEATURE_REALS).replace("round(", "round(f.")}), n.* EXCLUDE (account_id), t.* EXCLUDE (account_id),
   c.connected_component_size, m.community_id, m.community_size, m.community_total_orders, {sql_round(*_COMM_REALS).replace("round(", "round(m.")},
   round(nb.neighbor_avg_return_rate, 9) AS neighbor_avg_return_rate, fl.looks_bargain, fl.looks_office
 FROM features f JOIN ({_NODE_SQL}) n USING (account_id) JOIN ({_TRI_SQL}) t USING (account_id)
 JOIN (SELECT account_id, count(*) OVER (PARTITION BY component) AS connected_component_size FROM cc) c USING (account_id)
-JOIN ({_COMM_SQL}) m USING (account_id) JOIN ({_NEIGHBOR_SQL}) nb USING (account_id) JOIN ({_FLAG_SQL}) fl USING (account_id)""")
+JOIN ({_COMM_SQL}) m USING (account_id) JOIN ({_NEIGHBOR_SQL}) nb USING (account_id) JOIN ({_FLAG_SQL}) fl USING (account_id)"""
+
+
+@query("h5_graph_matrix", H5_SQL)
 def h5(d):
     reals = [*FEATURE_REALS, *_COMM_REALS, "shared_edge_weight_sum", "degree_centrality", "clustering_coefficient", "neighbor_avg_return_rate"]
     return rounded(matrix(d), reals)

@@ -11,10 +11,10 @@ from verdigris.operators import quality as Q
 from verdigris.operators import splits as P
 from verdigris.operators.cleansing import numeric_columns
 from verdigris.operators.community_features import community_features
-from verdigris.plans.catalog.base_queries import pre_disputes, pre_orders, rounded
+from verdigris.plans.catalog.base_queries import FEATURE_REALS, pre_disputes, pre_orders, rounded
 from verdigris.plans.catalog.case_queries import contributors, links, queue, reports
-from verdigris.plans.catalog.graph_queries import _COMM_SQL, edges, stored_features
-from verdigris.plans.catalog.model_queries import signals, split
+from verdigris.plans.catalog.graph_queries import _COMM_REALS, _COMM_SQL, _NODE_SQL, _TRI_SQL, CC_SQL, H5_SQL, edges, stored_features
+from verdigris.plans.catalog.model_queries import _audit_sql, signals, split
 from verdigris.plans.catalog.prelude import CUT, PRELUDE
 from verdigris.plans.catalog.quality_queries import used
 from verdigris.plans.catalog.registry import query
@@ -32,53 +32,119 @@ def whole_matrix(d):
     return d._whole_matrix
 
 
+# The iterations of the two metrics until their own tests of convergence hold, checked in the same rounds.
+PRELUDE["pr_whole"] = """
+WITH RECURSIVE w AS (SELECT src, sum(weight) AS w FROM sym GROUP BY 1),
+links AS (SELECT s.src, s.dst, s.weight / w.w AS share FROM sym s JOIN w USING (src)),
+nn AS (SELECT count(*)::DOUBLE AS n FROM fx_accounts),
+it(turn, v, r, moved) AS (
+  SELECT 0, account_id, 1.0::DOUBLE / n, 1e9::DOUBLE FROM fx_accounts, nn
+  UNION ALL
+  SELECT turn + 1, v, fresh, sum(abs(fresh - r)) OVER () FROM (
+    SELECT i.turn, i.v, i.r, 0.15::DOUBLE / n + 0.85::DOUBLE * idle / n + 0.85::DOUBLE * coalesce(f, 0) AS fresh
+    FROM it i CROSS JOIN nn CROSS JOIN (SELECT coalesce(sum(r), 0) AS idle FROM it WHERE v NOT IN (SELECT src FROM w)) z
+    LEFT JOIN (SELECT l.dst, sum(j.r * l.share) AS f FROM it j JOIN links l ON l.src = j.v GROUP BY 1) x ON x.dst = i.v
+    WHERE i.turn < 100 AND NOT (i.turn > 0 AND i.turn % 4 = 0 AND i.moved < n * 1e-6)))
+SELECT v AS account_id, r AS pagerank FROM it WHERE turn = (SELECT max(turn) FROM it)"""
+PRELUDE["ev_whole"] = """
+WITH RECURSIVE nn AS (SELECT count(*)::DOUBLE AS n FROM fx_accounts),
+it(turn, v, x, moved) AS (
+  SELECT 0, account_id, 1.0::DOUBLE / n, 1e9::DOUBLE FROM fx_accounts, nn
+  UNION ALL
+  SELECT turn + 1, v, fresh, sum(abs(fresh - x)) OVER () FROM (
+    SELECT turn, v, x, y / sqrt(sum(y * y) OVER ()) AS fresh FROM (
+      SELECT i.turn, i.v, i.x, i.x + coalesce(f, 0) AS y FROM it i CROSS JOIN nn
+      LEFT JOIN (SELECT s.dst, sum(j.x * s.weight) AS f FROM it j JOIN sym s ON s.src = j.v GROUP BY 1) q ON q.dst = i.v
+      WHERE i.turn < 1000 AND NOT (i.turn > 0 AND i.turn % 5 = 0 AND i.moved < n * 1e-6))))
+SELECT v AS account_id, x AS eigenvector_centrality FROM it WHERE turn = (SELECT max(turn) FROM it)"""
+# PageRank times the number of accounts is 1 on average, so its digits do not vanish as the table grows.
+_ITERATED = "round(pagerank * (SELECT count(*) FROM fx_accounts), 7) AS pagerank, round(eigenvector_centrality, 8) AS eigenvector_centrality"
+PRELUDE["whole_matrix"] = f"""
+SELECT h.*, {_ITERATED} FROM ({H5_SQL}) h JOIN pr_whole USING (account_id) JOIN ev_whole USING (account_id)"""
+
+
+def _iterated_rounded(df, n):
+    return df.withColumns({"pagerank": F.round(F.col("pagerank") * F.lit(float(n)), 7), "eigenvector_centrality": F.round("eigenvector_centrality", 8)})
+
+
 def _ties_kept(df):
-    """Sums and ratios rounded, so that float noise splits no ties; iterated values are tiny and stay."""
-    reals = [c for c, kind in df.dtypes if kind == "double" and c not in ITERATIVE]
-    return df.withColumns({c: F.round(c, 9) for c in reals})
+    """Sums, ratios and iterated values rounded, so that float noise splits no ties."""
+    reals = [*FEATURE_REALS, *_COMM_REALS, "shared_edge_weight_sum", "degree_centrality", "clustering_coefficient", "neighbor_avg_return_rate"]
+    return _iterated_rounded(rounded(df, reals), df.count())
+
 
+def compared_matrix(d):
+    """The whole matrix with its values rounded; stored once."""
+    if not hasattr(d, "_compared_matrix"):
+        d._compared_matrix = materialize(_ties_kept(whole_matrix(d)), "compared-matrix")
+    return d._compared_matrix
 
-@query("g13_node_metrics_all")
+
+@query("g13_node_metrics_all", f"""WITH {CC_SQL}
+SELECT n.*, t.triangle_count, t.clustering_coefficient, c.connected_component_size, {_ITERATED}
+FROM ({_NODE_SQL}) n JOIN ({_TRI_SQL}) t USING (account_id)
+JOIN (SELECT account_id, count(*) OVER (PARTITION BY component) AS connected_component_size FROM cc) c USING (account_id)
+JOIN pr_whole USING (account_id) JOIN ev_whole USING (account_id)""")
 def g13_all(d):
-    """All node metrics, the iterated ones converged."""
-    return G.node_metrics(d.accounts, edges(d))
+    """All node metrics, the iterated ones converged (PageRank times the number of accounts)."""
+    out = G.node_metrics(d.accounts, edges(d))
+    return _iterated_rounded(rounded(out, ["shared_edge_weight_sum", "degree_centrality", "clustering_coefficient"]), d.accounts.count())
 
 
-@query("h5_graph_matrix_all")
+@query("h5_graph_matrix_all", "SELECT * FROM whole_matrix")
 def h5_all(d):
-    return whole_matrix(d)
+    """Every column of the graph matrix, the iterated ones converged (PageRank times the number of accounts)."""
+    return compared_matrix(d)
 
 
-@query("g4_pagerank_converged")
+@query("g4_pagerank_converged", "SELECT account_id, round(pagerank * (SELECT count(*) FROM fx_accounts), 7) AS pagerank FROM pr_whole")
 def g4_converged(d):
-    return G.pagerank(d.accounts, edges(d))
+    """PageRank times the number of accounts."""
+    ranks = G.pagerank(d.accounts, edges(d))
+    return ranks.select("account_id", F.round(F.col("pagerank") * F.lit(float(d.accounts.count())), 7).alias("pagerank"))
 
 
-@query("g5_eigenvector_converged")
+@query("g5_eigenvector_converged", "SELECT account_id, round(eigenvector_centrality, 8) AS eigenvector_centrality FROM ev_whole")
 def g5_converged(d):
-    return G.eigenvector_centrality(d.accounts, edges(d))
+    found = G.eigenvector_centrality(d.accounts, edges(d))
+    return found.select("account_id", F.round("eigenvector_centrality", 8).alias("eigenvector_centrality"))
+
+
+_WHOLE_AUDIT = """
+SELECT feature, round(greatest(auc, 1 - auc), 6) AS single_feature_auc, unique_values FROM (
+  SELECT feature, sum(pos * (neg_upto - neg + 0.5::DOUBLE * neg)) / (sum(pos) * sum(neg)::DOUBLE) AS auc, count(*) AS unique_values FROM (
+    SELECT feature, value, pos, neg, sum(neg) OVER (PARTITION BY feature ORDER BY value) AS neg_upto FROM (
+      SELECT feature, value, count(*) FILTER (true_ring_member) AS pos, count(*) FILTER (NOT true_ring_member) AS neg
+      FROM (UNPIVOT (SELECT account_id, COLUMNS(* EXCLUDE (account_id))::DOUBLE FROM whole_matrix) ON COLUMNS(* EXCLUDE (account_id)) INTO NAME feature VALUE value)
+      JOIN fx_truth USING (account_id) GROUP BY 1, 2)) GROUP BY 1) WHERE unique_values >= 2"""
 
 
 def _whole_audit(d):
-    m = whole_matrix(d)
-    return M.feature_audit(_ties_kept(m), d.truth, numeric_columns(m))
+    m = compared_matrix(d)
+    return M.feature_audit(m, d.truth, numeric_columns(m))
 
 
-@query("m10_feature_audit_all")
+@query("m10_feature_audit_all", _WHOLE_AUDIT)
 def m10_all(d):
     """Every numeric column of the graph matrix, which holds the feature matrix."""
     return _whole_audit(d)
 
 
-@query("m12_shortcut_gate_all")
+@query("m12_shortcut_gate_all", f"""
+SELECT max(single_feature_auc) AS max_auc, max(single_feature_auc) <= 0.80 AS passed FROM (
+  {_audit_sql('raw_signals', M.RAW_SIGNALS)} UNION ALL SELECT feature, single_feature_auc, unique_values FROM ({_WHOLE_AUDIT}))""")
 def m12_all(d):
     raw = M.feature_audit(materialize(signals(d), "signals"), d.truth, M.RAW_SIGNALS)
     return M.shortcut_gate(raw.unionByName(_whole_audit(d)))
 
 
-@query("p3_input_report_all")
+@query("p3_input_report_all", """
+SELECT feature, min(value) FILTER (split = 'train') = max(value) FILTER (split = 'train') AS constant_in_train, count(*) FILTER (value IS NULL) AS null_values,
+  count(*) FILTER (NOT isfinite(value)) AS not_finite_values
+FROM (UNPIVOT (SELECT account_id, COLUMNS(* EXCLUDE (account_id, community_id))::DOUBLE FROM whole_matrix) ON COLUMNS(* EXCLUDE (account_id)) INTO NAME feature VALUE value)
+JOIN split USING (account_id) GROUP BY 1""")
 def p3_all(d):
-    m = whole_matrix(d)
+    m = compared_matrix(d)
     inputs = numeric_columns(m, ("account_id", "community_id"))
     return P.input_report(m.select("account_id", *inputs), split(d))
 
