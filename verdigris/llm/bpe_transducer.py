@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 
 LANE = 512
-MAX_STATES, MAX_WORDS = 400_000, 1_000_000
+MAX_STATES, MAX_WORDS = 60_000, 200_000  # some 250 MB in a worker; beyond that both start anew
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 END = "</w>"
 
