@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 
 LANE = 512
-MAX_STATES, MAX_WORDS = 60_000, 200_000  # some 250 MB in a worker; beyond that both start anew
+MAX_STATES, MAX_WORDS, MAX_PAIRS = 120_000, 400_000, 1_000_000  # some 400 MB in a worker
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 END = "</w>"
 
@@ -351,9 +351,10 @@ class Transducer:
 
     def _bounded(self) -> None:
         """Start again when the compiled part has outgrown its bound; results do not depend on it."""
-        if len(self._live) > MAX_STATES or self._words.size > MAX_WORDS or len(self._pair_ok) > 4 * MAX_STATES:
-            self._pair_ok.clear()
+        if len(self._live) > MAX_STATES or self._words.size > MAX_WORDS:
             self._reset()
+        if len(self._pair_ok) > MAX_PAIRS:  # dear to find out again, and small
+            self._pair_ok.clear()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
