@@ -112,3 +112,14 @@ def test_unresolved_and_empty_queries(spark):
     assert got[1]["matching_strategy"] == "structured:no_block" and got[1]["requires_human_review"]
     assert got[2]["matching_strategy"] == "structured:no_components" and got[2]["normalized_address"] is None
     assert got[3]["candidate_address_id"] == 1 and got[3]["confidence"] > 0.9
+
+
+def test_crowded_pairs_compare_values_once(crowded, monkeypatch):
+    monkeypatch.setattr(address_dense, "PAIR_QUERIES", 25)
+    monkeypatch.setattr(address_dense, "PAIR_RECORDS", 900)
+    cols = ["query_id", "address_id", "strategy", "score", "exact_count", *[f"s_{f}" for f in R.FIELDS]]
+    every = R.block_pairs(*crowded)
+    assert "FlatMapCoGroupsInPandas" in every._jdf.queryExecution().toString()
+    joined = R.block_pairs(*crowded, dense_pairs=10**9).select(*cols)
+    assert every.count() == joined.count()
+    assert every.select(*cols).exceptAll(joined).isEmpty()
