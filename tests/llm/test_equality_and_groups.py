@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from verdigris.llm import substring_dedup
 from verdigris.llm.jaccard_join import keyed_components, one_of_each, similar_components
 from verdigris.llm.substring_dedup import repeat_report, without_repeats
 from verdigris.llm.words import Words, runs
@@ -130,3 +131,12 @@ def test_rows_keep_their_ids_when_cores_come_and_go(spark, tmp_path, monkeypatch
     finally:
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_window_rows_keep_place_and_check_in_one_number():
+    start = np.array([0, 1, 70_000, 2**31 - 1, 5, 5])
+    check = np.array([0, -1, -(2**31), 2**31 - 1, 7, -7], np.int32)
+    packed = substring_dedup._packed(start, check)
+    got = substring_dedup._unpacked(packed)
+    assert got[0].tolist() == start.tolist() and got[1].tolist() == check.tolist()
+    assert (np.diff(substring_dedup._packed(np.arange(100), np.full(100, -3, np.int32))) > 0).all()  # by place where the checks agree

@@ -32,6 +32,7 @@ from verdigris.session import materialize
 ANCHOR = 5
 SLICE = 3 << 20
 GATHER, LIST = 1 << 19, 8
+CHECK_BITS = (1 << 32) - 1
 
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +92,19 @@ def _repeats_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, many
 
 
+def _packed(start: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """First word and check digest of a window in one number, check low.
+
+    Beside the key its changing bytes are then one run, and the zeros of the first word join the
+    columns that stay: a compressed exchange breaks each row once.
+    """
+    return (start.astype(np.int64) << 32) | check.astype(np.int32).view(np.uint32).astype(np.int64)
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (place >> 32).astype(np.int32), (place & CHECK_BITS).astype(np.uint32).view(np.int32)
+
+
 def repeated_words(
     docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +140,8 @@ def repeated_words(
                 order = np.argsort(rid[by], kind="stable")  # rows of a document together compress better
                 pos = (place - words.first[row]).astype(np.int32)[by]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)[order]), pa.array(rid[by][order]), pa.array(pos[order]), pa.array(many[order])],
-                    ["key", "rid", "pos", "known"],
+                    [pa.array(key.view(np.int64)[order]), pa.array(pos[order]), pa.array(rid[by][order]), pa.array(many[order])],
+                    ["key", "pos", "rid", "known"],
                 )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +157,7 @@ def repeated_words(
         if held:
             yield _by_document(kept)
 
-    found = arrow_map(rows.select("rid", "text"), anchors, [field("key", "bigint"), field("rid", "bigint"), field("pos", "int"), field("known", "boolean")])
+    found = arrow_map(rows.select("rid", "text"), anchors, [field("key", "bigint"), field("pos", "int"), field("rid", "bigint"), field("known", "boolean")])
     alive = arrow_map(found.repartition("key").sortWithinPartitions("key"), shared, [field("rid", "bigint"), field("starts", "array<int>")])
     per_doc = alive.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("anchors"))  # at most the document's own
     packed = arrow_map(rows, squeeze, [rows.schema["rid"], id_field, field("packed", "binary")])
@@ -174,8 +188,8 @@ def repeated_words(
                 rid = rids[row + at]
                 key = np.where(first, digest, mix(rid.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(np.where(first, check, 0)), b.column(1).take(pa.array(row + at)), pa.array(rid), pa.array(place.astype(np.int32)), pa.array(~first)],
-                    ["key", "check", "id", "rid", "start", "known"],
+                    [pa.array(key.view(np.int64)), pa.array(_packed(place, np.where(first, check, 0))), b.column(1).take(pa.array(row + at)), pa.array(rid), pa.array(~first)],
+                    ["key", "place", "id", "rid", "known"],
                 )
 
     def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +199,9 @@ def repeated_words(
             known = t.column("known").to_numpy(zero_copy_only=False)
             later = known.copy()
             asked = np.flatnonzero(~known)
-            later[asked] = _repeats_equal(*(t.column(c).to_numpy()[asked] for c in ("key", "check")))[0]
-            kept.append((t.column("rid").to_numpy()[later], t.column("start").to_numpy()[later]))
+            start, check = _unpacked(t.column("place").to_numpy())
+            later[asked] = _repeats_equal(t.column("key").to_numpy()[asked], check[asked])[0]
+            kept.append((t.column("rid").to_numpy()[later], start[later]))
             held += int(later.sum())
             if held >= GATHER:
                 yield _by_document(kept)
@@ -195,9 +210,10 @@ def repeated_words(
             yield _by_document(kept)
 
     sent = arrow_map(
-        candidates, suffixes, [field("key", "bigint"), field("check", "int"), id_field, field("rid", "bigint"), field("start", "int"), field("known", "boolean")]
+        candidates, suffixes, [field("key", "bigint"), field("place", "bigint"), id_field, field("rid", "bigint"), field("known", "boolean")]
     )
-    grouped = sent.repartition("key").sortWithinPartitions("key", "check", F.col("id").asc_nulls_last(), "rid", "start")
+    check = F.col("place").bitwiseAND(F.lit(CHECK_BITS))
+    grouped = sent.repartition("key").sortWithinPartitions("key", check, F.col("id").asc_nulls_last(), "rid", "place")
     repeats = arrow_map(grouped, later_ones, [field("rid", "bigint"), field("starts", "array<int>")])
     lists = materialize(repeats.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")  # at most the document's windows
     losing = candidates.select("rid", "packed").join(lists, "rid")
