@@ -81,6 +81,21 @@ def test_louvain_finds_cliques(spark):
     assert communities.modularity(e, got).first()[0] > communities.modularity(e, alone).first()[0] + 0.5
 
 
+def test_louvain_moves_small_components_in_one_step(spark, monkeypatch):
+    """Components moved whole by a task end as those moved turn by turn, in far fewer stored steps."""
+    rng = random.Random(1)
+    pairs = {tuple(sorted(rng.sample(range(b * 100, b * 100 + 12 * (b + 1)), 2))) for b in range(3) for _ in range(25 * (b + 1))}
+    a, e = graph(spark, sorted(pairs), 300)
+    e = e.withColumn("weight", F.element_at(F.array(F.lit(0.3), F.lit(0.7), F.lit(1.0)), (F.col("account_id_1") % 3 + 1).cast("int")))
+    stored, keep = [], communities.materialize
+    monkeypatch.setattr(communities, "materialize", lambda df, label="stage": (stored.append(label), keep(df, label))[1])
+    got = [sorted(rows(communities.louvain(a, e, group_rows=n))) for n in (100, 100_000)]
+    assert got[0] == got[1] and "lv-step" in stored
+    stored.clear()
+    assert sorted(rows(communities.louvain(a, e))) == got[0]
+    assert "lv-step" not in stored
+
+
 @pytest.mark.parametrize("cell_rows", [2, 8, 10_000])
 def test_triangles_around_a_hub(spark, cell_rows):
     """A clique whose first vertex in (degree, id) order has the largest out-degree, and hubs beside it."""
