@@ -33,6 +33,33 @@ def test_close_pairs_match_brute_force(spark, cell_rows):
     assert got == brute_pairs(events, 20)
 
 
+@pytest.mark.parametrize("light,cell_rows", [(256, 10_000), (3, 10_000), (256, 4)])
+def test_met_once_matches_brute_force(spark, light, cell_rows):
+    """First table distinct as it comes, no pair in both, known pairs only in the second; ids with many buckets too."""
+    rng = random.Random(light + cell_rows)
+    events = [(f"k{rng.randrange(30)}", rng.randrange(60), rng.randrange(-400, 400)) for _ in range(350)]
+    events += [("k1", 99, t) for t in range(-400, 400, 15)] + [(None, 1, 5), ("k2", None, 5), ("k2", 4, None)]
+    df = spark.createDataFrame(events, "key STRING, id BIGINT, t BIGINT")
+    want = {p[1:] for p in brute_pairs([e for e in events if None not in e], 20)}
+    known = sorted(want)[::9]
+    listed = spark.createDataFrame([*known, (1, 1000)], "id_1 BIGINT, id_2 BIGINT")
+    for pairs, inside in ((None, set()), (listed, set(known))):
+        once, again = bandjoin.met_once(df, ["key"], "id", "t", 20, pairs, cell_rows, light)
+        first, rest = [tuple(r) for r in once.collect()], {tuple(r) for r in again.collect()}
+        assert len(first) == len(set(first)) and not set(first) & rest
+        assert set(first) | rest == want and inside <= rest
+        assert light < 256 or len(first) > len(want) / 3
+
+
+def test_ip_pairs_are_not_exchanged(spark):
+    """Nearly all pairs of a prefix leave the join as they are; only the rest is made distinct."""
+    df = spark.createDataFrame([(f"k{i % 7}", i, 5) for i in range(200)], "key STRING, id BIGINT, t BIGINT")
+    once, again = bandjoin.met_once(df, ["key"], "id", "t", 100)
+    assert once.count() == sum(n * (n - 1) // 2 for n in [29] * 4 + [28] * 3) and again.isEmpty()
+    after_join = once._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "Aggregate" not in after_join and "Repartition" not in after_join
+
+
 def test_grid_meets_each_pair_once_in_bounded_cells(spark):
     """Half of all accounts on one entity."""
     left = spark.createDataFrame([("hot" if k % 2 else f"k{k % 40}", k) for k in range(1200)] + [("left", -1), (None, -2)], "key STRING, a BIGINT").cache()
