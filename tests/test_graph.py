@@ -1,12 +1,16 @@
 """Graph metrics on small graphs with known answers, and against brute force."""
 
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from conftest import rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from verdigris.operators import communities, graph_metrics
+from verdigris.operators import communities, components, graph_metrics, neighborhood
 from verdigris.operators.components import account_components, component_labels
 
 
@@ -41,6 +45,33 @@ def test_components(spark, pairs):
     assert dict(rows(component_labels(e))) == union_find(pairs)
 
 
+def test_edges_are_cut_to_local_forests_first(spark, monkeypatch):
+    """Same components, and no more links kept than a task has vertices, in runs of a few links too."""
+    rng = random.Random(5)
+    pairs = [tuple(sorted(rng.sample(range(k * 40, k * 40 + 40), 2))) for k in range(5) for _ in range(300)] + [(39, 45), (900, 901), (7, 7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([p[0] for p in part]), pa.array([p[1] for p in part])], ["u", "w"]) for part in (pairs[:700], pairs[700:])]
+    want = union_find([p for p in pairs if p[0] != p[1]])
+    for limit in (1 << 20, 100):
+        monkeypatch.setattr(components, "FOREST_LINKS", limit)
+        kept = [(u, w) for b in components._forest(iter(batches)) for u, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert union_find(kept) == want and all(u < w for u, w in kept)
+        assert limit == 100 or len(kept) == 5 * 39 + 1 + 1
+    e = spark.createDataFrame([*pairs, (None, 3)], "account_id_1 BIGINT, account_id_2 BIGINT").repartition(3)
+    assert components._spanning(e.toDF("u", "w")).count() < len(pairs) / 2
+    for limit in (1 << 20, 30, 0):  # in one run, after some rounds, in rounds only
+        monkeypatch.setattr(components, "FOREST_LINKS", limit)
+        assert dict(rows(component_labels(e))) == want
+
+
+@pytest.mark.parametrize("fn", [components._forest, neighborhood.loss_and_gradient])
+def test_task_functions_need_no_package(fn, tmp_path):
+    """What tasks run can be read where this package is not installed."""
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps(fn))
+    code = "from pyspark import cloudpickle; print(callable(cloudpickle.load(open('fn', 'rb'))))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60, check=True)
+    assert found.stdout.strip() == "True"
+
+
 def test_no_edges(spark):
     a, e = graph(spark, [(1, 2)], 4)
     got = rows(account_components(a, e.filter("false")))
