@@ -4,14 +4,17 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from verdigris.operators import communities, components, graph_metrics, neighborhood
+from verdigris.operators import communities, community_features, components, graph_metrics, neighborhood
 from verdigris.operators.components import account_components, component_labels
+from verdigris.plans import graph_plan
+from verdigris.session import materialize
 
 
 def graph(spark, pairs, n=None):
@@ -99,6 +102,63 @@ def test_eigenvector_of_star(spark):
     assert got[0] == pytest.approx(0.7071, abs=1e-3) and got[1] == pytest.approx(0.3536, abs=1e-3)
 
 
+def test_eigenvector_stores_one_table_per_compared_round(spark, monkeypatch):
+    """Same values as plain power iteration, with a link to itself and one to no account among the edges."""
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 3), (4, 5)]
+    a, e = graph(spark, pairs, 8)
+    e = e.unionByName(e.limit(1).withColumn("account_id_2", F.lit(None).cast("int")))
+    stored = []
+    monkeypatch.setattr(graph_metrics, "materialize", lambda df, label: stored.append(label) or materialize(df, label))
+    got = dict(rows(graph_metrics.eigenvector_centrality(a, e, max_iter=12, fixed=True)))
+    m = np.eye(8)
+    for u, w in pairs:
+        m[u, w] += 1
+        m[w, u] += 1
+    x = np.linalg.matrix_power(m, 12) @ np.full(8, 1 / 8)
+    x /= np.linalg.norm(x)
+    assert [got[i] for i in range(8)] == pytest.approx(list(x))
+    assert stored == ["ev-nodes", "ev-links", "ev", "ev", "ev"]  # after rounds 5, 10 and 12
+
+
+def test_dealt_links_lie_sorted(spark):
+    """A round joins the links by source without sorting them again."""
+    links = graph_metrics._dealt(spark.createDataFrame([(i % 7, i) for i in range(50)], "src INT, dst INT"))
+    ranks = spark.createDataFrame([(i, 1.0) for i in range(7)], "v INT, r DOUBLE")
+    text = links.hint("merge").join(ranks, links["src"] == ranks["v"])._jdf.queryExecution().executedPlan().toString()
+    links.unpersist()
+    plan = text.split("InMemoryRelation")[0]
+    assert "SortMergeJoin" in plan and "Sort [src" not in plan
+
+
+def test_graph_matrix_makes_its_parts_once(spark, monkeypatch):
+    """The checks of the joins read stored parts, they do not make them again."""
+    made = {}
+
+    def counted(name):
+        real, made[name] = getattr(graph_plan, name), spark.sparkContext.accumulator(0)
+
+        def run(*args):
+            out, seen = real(*args), made[name]
+
+            def pass_on(batches):
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return out.mapInArrow(pass_on, out.schema)
+
+        monkeypatch.setattr(graph_plan, name, run)
+
+    for name in ("node_metrics", "community_features", "neighbor_return_rates"):
+        counted(name)
+    a, e = graph(spark, [(0, 1), (1, 2), (0, 2), (3, 4)], 8)
+    used = {*community_features._SOURCE.values(), "coupon_usage_rate", "shared_address_count"} - {"account_id"}
+    features = materialize(a.select("account_id", *[(F.col("account_id") / 10).alias(c) for c in sorted(used)]), "features")
+    groups = materialize(a.select("account_id", (F.col("account_id") % 3).cast("long").alias("community_id")), "communities")
+    found = graph_plan.graph_matrix(features, materialize(e, "edges"), groups, iterative=False)
+    assert found.count() == 8 and {k: v.value for k, v in made.items()} == dict.fromkeys(made, 8)
+
+
 def test_louvain_finds_cliques(spark):
     pairs = [(b + i, b + j) for b in (0, 10, 20) for i in range(6) for j in range(i)] + [(0, 10), (10, 20)]
     a, e = graph(spark, [tuple(sorted(p)) for p in pairs], 32)
