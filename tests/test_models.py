@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from verdigris.operators import models as L
 from verdigris.operators import neighborhood as N
 from verdigris.operators import tree_contributions as C
+from verdigris.operators import tuning as T
 from verdigris.operators.evaluation import auc_metrics
 from verdigris.operators.tuning import draw_points, successive_halving
+from verdigris.plans.catalog import learning_queries as Q
 
 COLUMNS = [f"c{k}" for k in range(8)]
 
@@ -61,6 +63,20 @@ def test_fit_stops_and_beats_few_columns(accounts, fitted):
     assert L.fit_stopped(table.filter("split <> 'val'"), COLUMNS, maxIter=3).stages[-1].getNumTrees == 3  # nothing to watch
 
 
+def test_fits_read_every_labelled_row(accounts, monkeypatch):
+    def cut(*_, **__):
+        raise AssertionError("labelled rows are cut")
+
+    table, edges = accounts
+    for module in (L, N, T):
+        monkeypatch.setattr(module, "bounded_rows", cut, raising=False)
+    assert L.fit_stopped(table, COLUMNS, maxIter=2, maxDepth=2).stages[-1].getNumTrees == 2
+    wide = N.hop_layers(table.select("account_id", "label", "split", *COLUMNS[:3]), edges, COLUMNS[:3], table.filter("split = 'train'"))
+    assert len(N.fit_neighborhood(wide, COLUMNS[:3], epochs=4).history) == 1
+    monkeypatch.setattr(Q, "PART_ROWS", 30)  # the partitions follow the rows, so that none grows with the table
+    assert Q.fit_parts(table.repartition(40)).rdd.getNumPartitions() == 20
+
+
 def test_contributions_add_up(accounts, fitted, spark):
     table, _ = accounts
     odd = spark.createDataFrame([(1000, *[0.0] * 8), (1001, *[1e9] * 8), (1001, *[1e9] * 8), (1002, *[-1e9] * 8)], "account_id INT, " + ", ".join(f"{c} DOUBLE" for c in COLUMNS))
