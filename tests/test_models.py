@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.operators import boosting as B
 from verdigris.operators import models as L
 from verdigris.operators import neighborhood as N
 from verdigris.operators import tree_contributions as C
@@ -133,6 +134,65 @@ def test_halving_keeps_the_best(accounts):
     assert len({r.point for r in best}) == 1 and best[0].mean_pr_auc == max(r.mean_pr_auc for r in last)
 
 
+def test_the_whole_space_is_drawn():
+    points = draw_points(Q.POINTS)
+    seen = {name: [p[name] for p in points] for name in points[0]}
+    assert len(points) == 50 and set(seen) == set(T.SPACE)
+    assert min(seen["max_depth"]) <= 6 and max(seen["max_depth"]) >= 14  # no draw is cut to a flatter tree
+    assert min(seen["n_estimators"]) < 300 and max(seen["n_estimators"]) > 900
+    for name, (low, high, _, _) in T.SPACE.items():
+        assert low <= min(seen[name]) and max(seen[name]) <= high and len(set(seen[name])) > 10
+
+
+def test_a_rung_ends_with_the_trees_asked_for(accounts):
+    table, _ = accounts
+    points = [{**p, "n_estimators": 5 + k} for k, p in enumerate(draw_points(2))]
+    found = successive_halving(table.filter("split = 'train'"), COLUMNS, points, rungs=2, folds=3).collect()
+    assert {(r.rung, r.point, r.trees) for r in found} == {(0, 0, 2), (0, 1, 3), (1, *next((r.point, 5 + r.point) for r in found if r.rung == 1))}
+
+
+def test_binned_trees(accounts):
+    """Against every split tried by hand, over a layout of the same rows, and carried on from fewer trees."""
+    table, _ = accounts
+    rows = table.toPandas()
+    x = np.stack([np.searchsorted(np.sort(rows[c].unique())[::4], rows[c]) for c in COLUMNS], axis=1).astype(np.uint8)
+    rng = np.random.default_rng(1)
+    g, h, bag = rng.normal(size=600), rng.random(600) + 0.1, rng.random(600) < 0.8
+    point = {**draw_points(1)[0], "num_leaves": 2, "max_depth": 1, "min_child_samples": 20, "reg_alpha": 0.5, "reg_lambda": 2.0}
+    value = lambda at: np.sign(g[at].sum()) * max(abs(g[at].sum()) - 0.5, 0) / (h[at].sum() + 2)
+    worth = lambda at: value(at) ** 2 * (h[at].sum() + 2)
+    sides = [(x[:, c] <= b) for c in range(8) for b in range(x.max())]
+    best = max((worth(s & bag) + worth(~s & bag) for s in sides if min((s & bag).sum(), (~s & bag).sum()) >= 20))
+    leaves = B.grow_tree(x, g, h, bag, int(x.max()) + 1, point)
+    masks = [np.isin(np.arange(600), rows) & bag for rows, _ in leaves]
+    assert math.isclose(sum(worth(m) for m in masks), best) and all(math.isclose(v, -value(m)) for m, (_, v) in zip(masks, leaves, strict=True))
+    deep = {**point, "num_leaves": 20, "max_depth": 4, "min_child_samples": 5, "learning_rate": 0.1}
+    leaves = B.grow_tree(x, g, h, bag, int(x.max()) + 1, deep)
+    assert sorted(np.concatenate([r for r, _ in leaves])) == list(range(600)) and 2 < len(leaves) <= 16
+    assert all(math.isclose(v, -value(np.isin(np.arange(600), r) & bag), abs_tol=1e-9) and (bag[r]).sum() >= 5 for r, v in leaves)
+    y, learn = rows["label"].to_numpy().astype(np.uint8), rows["fold"].to_numpy() != 1
+    whole, few = B.boosted_margins(x, y, learn, deep, 9), B.boosted_margins(x, y, learn, deep, 4)
+    assert np.array_equal(B.boosted_margins(x, y, learn, deep, 9, raw=few[0], made=few[1])[0], whole[0]) and whole[1] == 9
+    p = 1 / (1 + np.exp(-B.boosted_margins(x, y, learn, deep, 40)[0]))
+    assert p[~learn & (y == 1)].mean() > p[~learn & (y == 0)].mean() + 0.1  # it learns
+    doubled = table.unionByName(table.limit(50).withColumn("c1", F.lit(0.0)))
+    found = [
+        sorted(map(tuple, successive_halving(t, COLUMNS, draw_points(2), trees=2, rungs=2).select("rung", "point", "fold", "pr_auc").collect()))
+        for t in (doubled.coalesce(1), doubled.repartition(7, "c2"))
+    ]
+    assert found[0] == found[1]
+    with pytest.raises(Exception, match="null"):
+        successive_halving(table.withColumn("c3", F.lit(None).cast("double")), COLUMNS, draw_points(2), trees=1).collect()
+
+
+def test_bins_follow_all_values(spark):
+    rows = spark.createDataFrame([(float(k), float(k % 7), float(k > 10)) for k in range(1, 1001)], "a DOUBLE, b DOUBLE, c DOUBLE")
+    a, b, c = B.bin_edges(rows, ["a", "b", "c"])
+    assert list(b) == list(range(7)) and list(c) == [0.0, 1.0]
+    sizes = np.diff(a, prepend=0)
+    assert len(a) == 255 and a[-1] == 1000 and sizes.min() >= 3 and sizes.max() <= 5
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(4)
     x, y, w = rng.normal(size=(30, 3, 5)), (rng.random(30) < 0.4).astype(float), rng.random(30) + 0.5
