@@ -187,6 +187,19 @@ def test_louvain_moves_small_components_in_one_step(spark, monkeypatch):
     assert "lv-step" not in stored
 
 
+def test_louvain_looks_again_beside_changes_only(monkeypatch):
+    """A star that moves one leaf per turn beside cliques at rest: late turns read the star's links alone."""
+    pairs = [(0, k) for k in range(1, 61)] + [(100 + 10 * b + i, 100 + 10 * b + j) for b in range(30) for i in range(8) for j in range(i)]
+    a, b = np.array(pairs + [(y, x) for x, y in pairs]).T
+    links = pa.table({"src": a, "dst": b, "weight": np.ones(len(a)), "rests": a * 7919 % 256})
+    read, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda v, **kw: (read.append(len(v)), unique(v, **kw))[1])
+    found = communities._group_mover(1 / len(a), 1_000)(links)
+    assert read[1] == len(a) and read[-1] <= 120 and sum(read[1:]) < len(a) * (len(read) - 1) / 2
+    of = dict(zip(found["v"].to_pylist(), found["c"].to_pylist(), strict=True))
+    assert len({of[k] for k in range(61)}) == 1 and all(len({of[100 + 10 * b + i] for i in range(8)}) == 1 for b in range(30))
+
+
 @pytest.mark.parametrize("cell_rows", [2, 8, 10_000])
 def test_triangles_around_a_hub(spark, cell_rows):
     """A clique whose first vertex in (degree, id) order has the largest out-degree, and hubs beside it."""
