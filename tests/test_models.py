@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import boosting as B
+from verdigris.operators import hops as H
 from verdigris.operators import models as L
 from verdigris.operators import neighborhood as N
 from verdigris.operators import tree_contributions as C
@@ -193,6 +194,27 @@ def test_bins_follow_all_values(spark):
     assert len(a) == 255 and a[-1] == 1000 and sizes.min() >= 3 and sizes.max() <= 5
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+@pytest.mark.parametrize("slice_rows", [7, 1000])
+def test_linked_means_are_those_of_a_join(spark, kind, slice_rows):
+    """Against join and ``avg``, with nulls, repeated rows and links, and accounts on one side only; no join of links and vectors."""
+    rng = random.Random(3)
+    rows = [(k % 45, rng.gauss(0, 1), None if k % 3 == 0 else float(k), rng.randrange(9)) for k in range(50)] + [(None, 1.0, 1.0, 1), (60, None, None, None)]
+    layer = spark.createDataFrame(rows, "account_id INT, a DOUBLE, b DOUBLE, c INT").withColumn("account_id", F.col("account_id").cast(kind))
+    pairs = [(rng.randrange(55), rng.randrange(55)) for _ in range(400)] + [(3, 4), (3, 4), (3, None), (58, 60), (59, 59)]
+    links = spark.createDataFrame(pairs, "src INT, dst INT").select(F.col("src").cast(kind), F.col("dst").cast(kind))
+    joined = links.join(layer.withColumnRenamed("account_id", "dst"), "dst").groupBy(F.col("src").alias("account_id"))
+    want = {r.account_id: r for r in joined.agg(*[F.avg(c).alias(c) for c in "abc"]).collect()}
+    means = H.linked_means(links, layer, ["a", "b", "c"], slice_rows)
+    assert means.dtypes == [("account_id", kind), ("a", "double"), ("b", "double"), ("c", "double")]
+    got = {r.account_id: r for r in means.collect()}
+    assert set(got) == set(want) and len(got) == means.count()
+    for k, r in want.items():
+        assert all((x is None and y is None) or math.isclose(x, y, abs_tol=1e-12) for x, y in zip(r[1:], got[k][1:], strict=True))
+    assert "Join" not in means._sc._jvm.PythonSQLUtils.explainString(means._jdf.queryExecution(), "simple")
+    assert H.linked_means(links.limit(0), layer, ["a"], slice_rows).count() == 0 == H.linked_means(links, layer.limit(0), ["a"], slice_rows).count()
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(4)
     x, y, w = rng.normal(size=(30, 3, 5)), (rng.random(30) < 0.4).astype(float), rng.random(30) + 0.5
